@@ -12,11 +12,13 @@ Pairs must also have enough elements left from the shared one on (positional
 filter), and must share a prefix element under orders 2 and 3, which sort by
 other hashes; only pairs that pass every filter are verified on the whole sets.
 
-No group is expanded to all its pairs.  Equal sets are one node.  In each group
-of a shared prefix shingle, every node is first tested against the group's
-smallest node.  What then still lies in another component than the group's
-largest one is tested against all of the group outside its own component, so
-every pair that could connect two components is tested, and none is skipped.
+No group is expanded to all its pairs.  Equal sets are one node.  Every node is
+first tested against the group's smallest node that it meets most often; then, in
+each group of a shared prefix shingle, one node of every other component against
+the smallest node, until no link is found.  What then still lies in another
+component than the group's largest one is tested against all of the group outside
+its own component.  So every pair that could connect two components is tested,
+and none is skipped.
 
 Defined cases: null and word-less texts have the empty set and are linked with
 nothing; fewer words than n make one shingle of the whole sequence; repeated rows
@@ -43,6 +45,8 @@ common.by_value(__name__)
 
 #: Counters of document frequency: this many in all, in blocks of CELLS.
 COUNTERS, CELLS = 1 << 18, 1 << 12
+#: Up to so many ids (8 bytes each) go to all tasks to filter the texts where they are read.
+BROADCAST_IDS = 1_000_000
 _SEEDS = (np.uint64(0), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 
 
@@ -180,7 +184,10 @@ def _verified(pairs: DataFrame, rows: DataFrame, survey: DataFrame, level: np.nd
     table = rows.sparkSession.sparkContext.broadcast(level)
     of = survey.filter("node is not null").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("id"))
     texts = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "text")
-    named = pairs.join(of.select(F.col("node").alias("a"), F.col("id").alias("ida")), "a").join(of.select(F.col("node").alias("b"), F.col("id").alias("idb")), "b")
+    named = stage(pairs.join(of.select(F.col("node").alias("a"), F.col("id").alias("ida")), "a").join(of.select(F.col("node").alias("b"), F.col("id").alias("idb")), "b"), "named")
+    needed = stage(named.select(F.explode(F.array("ida", "idb")).alias("id")).distinct(), "needed")
+    if needed.count() <= BROADCAST_IDS:  # counted: a filter at the scan; beyond, the join below alone
+        texts = texts.join(F.broadcast(needed), "id", "left_semi")
     both = named.join(texts.select(F.col("id").alias("ida"), F.col("text").alias("ta")), "ida").join(texts.select(F.col("id").alias("idb"), F.col("text").alias("tb")), "idb")
     both = both.select("a", "b", "ta", "tb")
 
@@ -216,6 +223,15 @@ def _verified(pairs: DataFrame, rows: DataFrame, survey: DataFrame, level: np.nd
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _split_groups(grouped: DataFrame, parts: DataFrame) -> DataFrame:
+    """The groups that hold more than one component, each row with its own, the first node's and the largest one."""
+    named = parts.select(F.col("node").alias("x"), F.col("component"))
+    held = grouped.join(named, F.col("node") == F.col("x"), "left").select("token", "node", "packed", "lead", F.coalesce("component", "node").alias("part"))
+    sizes = held.groupBy("token", "part").agg(F.count("*").alias("k"), F.max(F.when(F.col("node") == F.col("lead"), F.col("part"))).alias("own"))
+    split = sizes.groupBy("token").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.max("own").alias("lead_part"), F.count("*").alias("parts"))
+    return stage(held.join(split.filter("parts > 1").drop("parts"), "token"), "split")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, node (names equal sets; null for the empty set), component_id for every document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -228,22 +244,31 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     )
     grouped = stage(grouped.filter("lead <> last").drop("last").distinct(), "groups")
 
-    first = grouped.filter("node <> lead").filter(_may_link("packed", "lead_packed", num, den)).select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    links = stage(_verified(first, rows, survey, level, n, num, den), "links")
-    parts = connected_components(links, "a", "b")
+    # Round 1: every node against the first node that it shares most prefix shingles with.
+    near = grouped.filter("node <> lead").filter(_may_link("packed", "lead_packed", num, den)).groupBy("node", "lead").agg(F.count("*").alias("k"))
+    near = near.groupBy("node").agg(F.max_by("lead", F.struct("k", "lead")).alias("lead"))
+    pairs = stage(near.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), "pairs")
+    tested, links, found = pairs, None, True
+    while found:
+        new = stage(_verified(pairs, rows, survey, level, n, num, den), "links")
+        found = not new.isEmpty()
+        links = new if links is None else links.unionByName(new)
+        parts = connected_components(links, "a", "b")
+        # Next rounds: in each group one node of every other component against the first node.
+        held = _split_groups(grouped, parts)
+        pairs = held.filter("part <> lead_part").groupBy("token", "part").agg(F.min("node").alias("node"), F.first("lead").alias("lead"))
+        pairs = pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+        pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if found:
+            found = not pairs.isEmpty()
+            tested = tested.unionByName(pairs)
 
     # Groups that still hold more than one component: all outside the largest against all not of their own.
-    held = grouped.select("token", "node", "packed", "lead").join(parts.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left")
-    held = held.select("token", "node", "packed", "lead", F.coalesce("component", "node").alias("part"))
-    split = held.groupBy("token", "part").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.count("*").alias("parts"))
-    held = stage(held.join(split.filter("parts > 1").drop("parts"), "token"), "split")
-    left = held.filter("part <> main").select("token", F.col("node").alias("u"), F.col("packed").alias("pu"), F.col("part").alias("su"), "main", "lead")
+    left = held.filter("part <> main").select("token", F.col("node").alias("u"), F.col("packed").alias("pu"), F.col("part").alias("su"), "main")
     right = held.select("token", F.col("node").alias("v"), F.col("packed").alias("pv"), F.col("part").alias("sv"))
-    open_pairs = left.join(right, "token").filter(
-        (F.col("su") != F.col("sv")) & ((F.col("sv") == F.col("main")) | (F.col("u") < F.col("v"))) & (F.col("u") != F.col("lead")) & (F.col("v") != F.col("lead"))
-    ).filter(_may_link("pu", "pv", num, den))
-    second = open_pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    more = stage(_verified(second, rows, survey, level, n, num, den), "links")
+    open_pairs = left.join(right, "token").filter((F.col("su") != F.col("sv")) & ((F.col("sv") == F.col("main")) | (F.col("u") < F.col("v")))).filter(_may_link("pu", "pv", num, den))
+    last = open_pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    more = stage(_verified(stage(last, "pairs"), rows, survey, level, n, num, den), "links")
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more), "a", "b")
 

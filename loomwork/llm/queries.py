@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, shards
+from . import decontaminate, fingerprints, jaccard, packing, repeats, shards
 from .common import read
 
 
@@ -24,10 +24,34 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "matched", "item_tokens", "coverage", "longest_run", "slots", "verbatim")
+
+
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.remove_repeats(read(spark, sf_dir, "documents"), length=400)
+    return rows.select("doc_id", "n_bytes", "n_removed", F.size("runs").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op3_packing": op3_packing,
+    "op5_repeats": op5_repeats,
     "op6_shards": op6_shards,
     "op7_jaccard": op7_jaccard,
+    "op8_leaks": op8_leaks,
 }
 
 ORACLE_SQL: dict[str, str] = {}
