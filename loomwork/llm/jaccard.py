@@ -57,7 +57,7 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int) -> list[np.ndarra
     words = common.span_hash(common.prefix_hash(data), starts, ends)
     total = np.zeros(max(0, len(words) - n + 1), dtype=np.uint64)
     for k in range(n):
-        total += words[k : len(words) - n + 1 + k] * np.uint64((0x9FB21C651E98DF25 * (2 * k + 1)) % (1 << 64))
+        total += words[k : len(words) - n + 1 + k] * np.uint64(pow(0x9FB21C651E98DF25, k + 1, 1 << 64))
     hashed, out = common.mix(total), []
     for a, b in zip(by_text[:-1].tolist(), by_text[1:].tolist(), strict=True):
         if b - a >= n:
