@@ -115,3 +115,17 @@ def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 def ascii_lower(data: np.ndarray) -> np.ndarray:
     """A-Z to a-z, all other bytes as they are."""
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+
+
+def symbol_table(fold_case: bool) -> np.ndarray:
+    """Byte -> one of 64 symbols: a-z, capitals (or folded into a-z), digits, space, newline, other control, 32 signs, other bytes."""
+    table = np.full(256, 63, dtype=np.int64)
+    table[:32] = 30
+    table[[10, 127]] = 29, 30
+    table[32] = 28
+    table[48:58] = 27
+    table[97:123] = np.arange(26)
+    table[65:91] = np.arange(26) if fold_case else 26
+    signs = [b for b in range(33, 127) if not chr(b).isalnum()]
+    table[signs] = 31 + np.arange(len(signs))
+    return table

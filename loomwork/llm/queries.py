@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, jaccard, packing, repeats, shards
+from . import backoff, decontaminate, fingerprints, jaccard, langid, packing, quality, repeats, shards, wordpieces
 from .common import read
 
 
@@ -45,13 +45,40 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = langid.fold("doc_id", 3) == 1
+    net = langid.fit(docs, ~held_out)
+    return langid.predict(docs.withColumn("held_out", held_out), net, ["doc_id", "held_out"])
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpieces.token_counts(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.lm_scores(read(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = langid.fold("doc_id", 4) == 2
+    space = quality.fit(docs, read(spark, sf_dir, "labels"), ~held_out)
+    scored = quality.score(docs.withColumn("held_out", held_out), space, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_language": op2_language,
     "op3_packing": op3_packing,
+    "op4_token_counts": op4_token_counts,
     "op5_repeats": op5_repeats,
     "op6_shards": op6_shards,
     "op7_jaccard": op7_jaccard,
     "op8_leaks": op8_leaks,
+    "op9_lm_scores": op9_lm_scores,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
