@@ -9,8 +9,9 @@ Order 1 puts shingles that are common over the whole corpus last (document
 frequencies are counted over all documents in a fixed-size table of counters and
 only their magnitude is used), then sorts by hash.  Its prefixes are joined.
 Pairs must also have enough elements left from the shared one on (positional
-filter), and must share a prefix element under orders 2 and 3, which sort by
-other hashes; only pairs that pass every filter are verified on the whole sets.
+filter), share enough elements of their whole prefixes (counted by joins), and share
+a prefix element under orders 2 and 3, which sort by other hashes; only pairs that
+pass every filter are verified on the whole sets.
 
 No group is expanded to all its pairs.  Equal sets are one node.  Every node is
 first tested against the group's smallest node that it meets most often; then, in
@@ -179,11 +180,25 @@ def _may_link(p: str, q: str, num: int, den: int):
     return F.least(left(p), left(q)) * (num + den) >= num * (n(p) + n(q))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, survey: DataFrame, level: np.ndarray, n: int, num: int, den: int) -> DataFrame:
+def _enough_shared(pairs: DataFrame, grouped: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose order-1 prefixes share enough elements.
+
+    Common elements outside both prefixes' common part lie behind the prefix that ends
+    first, so the overlap is at most the shared prefix elements and what is left there.
+    """
+    g = grouped.select("node", "token", F.shiftright("packed", 32).alias("n"))
+    shared = pairs.join(g.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(g.withColumnsRenamed({"node": "b", "n": "nb"}), ["b", "token"])
+    counted = shared.groupBy("a", "b").agg(F.count("*").alias("k"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    behind = F.ceil(F.greatest("na", "nb") * num / den) - 1
+    return counted.filter((F.col("k") + behind) * (num + den) >= num * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def _verified(pairs: DataFrame, grouped: DataFrame, rows: DataFrame, survey: DataFrame, level: np.ndarray, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets pass orders 2 and 3 and then the exact test."""
     table = rows.sparkSession.sparkContext.broadcast(level)
     of = survey.filter("node is not null").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("id"))
     texts = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "text")
+    pairs = _enough_shared(pairs, grouped, num, den)
     named = stage(pairs.join(of.select(F.col("node").alias("a"), F.col("id").alias("ida")), "a").join(of.select(F.col("node").alias("b"), F.col("id").alias("idb")), "b"), "named")
     needed = stage(named.select(F.explode(F.array("ida", "idb")).alias("id")).distinct(), "needed")
     if needed.count() <= BROADCAST_IDS:  # counted: a filter at the scan; beyond, the join below alone
@@ -250,7 +265,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     pairs = stage(near.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), "pairs")
     tested, links, found = pairs, None, True
     while found:
-        new = stage(_verified(pairs, rows, survey, level, n, num, den), "links")
+        new = stage(_verified(pairs, grouped, rows, survey, level, n, num, den), "links")
         found = not new.isEmpty()
         links = new if links is None else links.unionByName(new)
         parts = connected_components(links, "a", "b")
@@ -268,7 +283,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     right = held.select("token", F.col("node").alias("v"), F.col("packed").alias("pv"), F.col("part").alias("sv"))
     open_pairs = left.join(right, "token").filter((F.col("su") != F.col("sv")) & ((F.col("sv") == F.col("main")) | (F.col("u") < F.col("v")))).filter(_may_link("pu", "pv", num, den))
     last = open_pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = stage(_verified(stage(last, "pairs"), rows, survey, level, n, num, den), "links")
+    more = stage(_verified(stage(last, "pairs"), grouped, rows, survey, level, n, num, den), "links")
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more), "a", "b")
 
