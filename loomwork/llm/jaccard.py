@@ -111,12 +111,12 @@ def _survey(rows: DataFrame, n: int) -> DataFrame:
                 if len(items) <= COUNTERS:
                     np.add.at(counts, (items >> np.uint64(46)).astype(np.int64), 1)
             k = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=["doc_id", "node", "n_shingles", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=["doc_id", "text_hash", "node", "n_shingles", "block", "counts"])
         for block in np.flatnonzero(counts.reshape(-1, CELLS).any(1)).tolist():
             part = counts[block * CELLS : (block + 1) * CELLS].astype("<u4").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([block], pa.int32()), pa.array([part], pa.binary())], names=["doc_id", "node", "n_shingles", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([block], pa.int32()), pa.array([part], pa.binary())], names=["doc_id", "text_hash", "node", "n_shingles", "block", "counts"])
 
-    return rows.mapInArrow(run, "doc_id bigint, node bigint, n_shingles bigint, block int, counts binary")
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, node bigint, n_shingles bigint, block int, counts binary")
 
 
 def _levels(survey: DataFrame) -> np.ndarray:
@@ -248,8 +248,9 @@ def _split_groups(grouped: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, node (names equal sets; null for the empty set), component_id for every document."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """For every document doc_id, text_hash, n_shingles, component_id; node names equal sets and part its component (null: no words)."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
     survey = stage(_survey(rows, n), "survey")
     level = _levels(survey)
     every = Window.partitionBy("token").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -287,9 +288,25 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more), "a", "b")
 
-    documents = survey.filter("block is null").select("doc_id", "node", "n_shingles")
+    documents = survey.filter("block is null").select("doc_id", "text_hash", "node", "n_shingles")
     named = documents.join(parts.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left")
-    named = named.select("doc_id", "node", "n_shingles", F.coalesce("component", "node").alias("part"))
+    named = named.select("doc_id", "text_hash", "node", "n_shingles", F.coalesce("component", "node").alias("part"))
     smallest = named.filter("part is not null").groupBy("part").agg(F.min("doc_id").alias("smallest"))
     out = named.join(smallest, "part", "left")
-    return out.select("doc_id", "n_shingles", "node", F.coalesce("smallest", "doc_id").alias("component_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", "node", "part", F.coalesce("smallest", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The documents, with all their columns, less all but one of each component: that of the smallest id.
+
+    Documents without words are in no component and stay.
+    """
+    named = jaccard_components(docs, id_col=id_col, text_col=text_col, **how).select("doc_id", "text_hash", "part")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    chosen = named.filter("part is not null").groupBy("part").agg(F.min(first).alias("first"))
+    chosen = chosen.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
+    marked = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    wordless = ~F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(r"[^ \t-\r]")
+    kept = marked.filter(~wordless).join(chosen, docs[id_col].cast("long").eqNullSafe(chosen["__id"]) & (F.col("__text_hash") == chosen["__hash"]), "left_semi")
+    kept = kept.dropDuplicates([id_col, "__text_hash"])  # repeated rows
+    return kept.unionByName(marked.filter(wordless)).drop("__text_hash")

@@ -43,7 +43,8 @@ from . import common
 common.by_value(__name__)
 
 SEED = 128
-GROUP = 256
+#: Contexts (about 1 KB each) that one task sorts together; larger groups are counted by rows.
+GROUP = 4096
 _PLACE = np.uint64(28)  # bits of a place in a chunk
 
 
@@ -142,7 +143,7 @@ def _anchors(texts: DataFrame, length: int) -> DataFrame:
                 columns = (k1[top + row], k2[top + row], place - base, lo - base, hi - base, seed.view(np.int64), pair[:, 0], pair[:, 1])
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=["k1", "k2", "place", "lo", "hi", "seed", "c1", "c2"])
 
-    return texts.mapInArrow(run, "k1 bigint, k2 bigint, place bigint, lo bigint, hi bigint, seed bigint, c1 bigint, c2 bigint")
+    return texts.select("k1", "k2", "text").mapInArrow(run, "k1 bigint, k2 bigint, place bigint, lo bigint, hi bigint, seed bigint, c1 bigint, c2 bigint")
 
 
 def _contexts(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
@@ -166,7 +167,8 @@ def _contexts(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
             if out:
                 yield _batch(out, schema)
 
-    return texts.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(run, schema)
+    # All columns of the texts go along, so that this join and the last one share one shuffle of them.
+    return texts.join(lists, ["k1", "k2"]).select(*texts.columns, "wanted").mapInArrow(run, schema)
 
 
 _ARROW = {"bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}
@@ -260,8 +262,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, and of each text: n_bytes, n_removed, the removed runs, and the bytes that stay."""
     rows = docs.select(*keep, *_keys(docs, text_col))
-    texts = rows.select("k1", "k2", "text")
-    lists = repeat_spans(texts, length).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    lists = repeat_spans(rows, length).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     schema = f"{kinds}, n_bytes bigint, n_removed bigint, runs array<struct<start:bigint,end:bigint>>, kept binary"
     runs_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
