@@ -188,12 +188,13 @@ def _tree_spans(contexts: DataFrame, length: int) -> DataFrame:
         ids = list(rows)
         lefts = [rows[i][1][: rows[i][0]][::-1] for i in ids]
         rights = [rows[i][1][rows[i][0] :] for i in ids]
-        best: dict[tuple, set] = {}
+        # All repeats at an anchor hold the anchor, so together they are one span.
+        reach: dict[int, tuple[int, int]] = {}
         for left, right, part in maximal_repeats(lefts, rights, length):
             for k in part:
-                if not rows[ids[k]][2]:
-                    best.setdefault(ids[k], set()).add((left, right))
-        return [(k1, k2, place - left, place + right) for (k1, k2, place), spans in best.items() for left, right in spans]
+                most = reach.get(k, (0, 0))
+                reach[k] = max(most[0], left), max(most[1], right)
+        return [(*ids[k][:2], ids[k][2] - left, ids[k][2] + right) for k, (left, right) in reach.items() if not rows[ids[k]][2]]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seed, held = None, {}
