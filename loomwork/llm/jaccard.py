@@ -14,9 +14,8 @@ a prefix element under orders 2 and 3, which sort by other hashes; only pairs th
 pass every filter are verified on the whole sets.
 
 No group is expanded to all its pairs.  Equal sets are one node.  Every node is
-first tested against the group's smallest node that it meets most often; then, in
-each group of a shared prefix shingle, one node of every other component against
-the smallest node, until no link is found.  What then still lies in another
+first tested against the group's smallest node that it meets most often; then, for
+every two components that meet in groups, one such pair, until no link is found.  What then still lies in another
 component than the group's largest one is tested against all of the group outside
 its own component.  So every pair that could connect two components is tested,
 and none is skipped.
@@ -183,14 +182,16 @@ def _may_link(p: str, q: str, num: int, den: int):
 def _enough_shared(pairs: DataFrame, grouped: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose order-1 prefixes share enough elements.
 
-    Common elements outside both prefixes' common part lie behind the prefix that ends
-    first, so the overlap is at most the shared prefix elements and what is left there.
+    All shared prefix elements are counted.  What else the sets have in common lies
+    behind the last shared one in both sets, and behind the prefix that ends first.
     """
-    g = grouped.select("node", "token", F.shiftright("packed", 32).alias("n"))
-    shared = pairs.join(g.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(g.withColumnsRenamed({"node": "b", "n": "nb"}), ["b", "token"])
-    counted = shared.groupBy("a", "b").agg(F.count("*").alias("k"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    behind = F.ceil(F.greatest("na", "nb") * num / den) - 1
-    return counted.filter((F.col("k") + behind) * (num + den) >= num * (F.col("na") + F.col("nb"))).select("a", "b")
+    g = grouped.select("node", "token", F.shiftright("packed", 32).alias("n"), F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF)).alias("p"))
+    left, right = (g.withColumnsRenamed({"node": x, "n": f"n{x}", "p": f"p{x}"}) for x in "ab")
+    shared = pairs.join(left, "a").join(right, ["b", "token"])
+    counted = shared.groupBy("a", "b").agg(F.count("*").alias("k"), *[F.max(c).alias(c) for c in ("na", "nb", "pa", "pb")])
+    behind = F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1, F.ceil(F.greatest("na", "nb") * num / den) - 1)
+    enough = (F.col("k") + behind) * (num + den) >= num * (F.col("na") + F.col("nb"))
+    return counted.filter(enough & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, grouped: DataFrame, rows: DataFrame, survey: DataFrame, level: np.ndarray, n: int, num: int, den: int) -> DataFrame:
@@ -241,7 +242,7 @@ def _verified(pairs: DataFrame, grouped: DataFrame, rows: DataFrame, survey: Dat
 def _split_groups(grouped: DataFrame, parts: DataFrame) -> DataFrame:
     """The groups that hold more than one component, each row with its own, the first node's and the largest one."""
     named = parts.select(F.col("node").alias("x"), F.col("component"))
-    held = grouped.join(named, F.col("node") == F.col("x"), "left").select("token", "node", "packed", "lead", F.coalesce("component", "node").alias("part"))
+    held = grouped.join(named, F.col("node") == F.col("x"), "left").select("token", "node", "packed", "lead", "lead_packed", F.coalesce("component", "node").alias("part"))
     sizes = held.groupBy("token", "part").agg(F.count("*").alias("k"), F.max(F.when(F.col("node") == F.col("lead"), F.col("part"))).alias("own"))
     split = sizes.groupBy("token").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.max("own").alias("lead_part"), F.count("*").alias("parts"))
     return stage(held.join(split.filter("parts > 1").drop("parts"), "token"), "split")
@@ -270,9 +271,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
         found = not new.isEmpty()
         links = new if links is None else links.unionByName(new)
         parts = connected_components(links, "a", "b")
-        # Next rounds: in each group one node of every other component against the first node.
+        # Next rounds: for every two components that meet, the node and first node that meet most often.
         held = _split_groups(grouped, parts)
-        pairs = held.filter("part <> lead_part").groupBy("token", "part").agg(F.min("node").alias("node"), F.first("lead").alias("lead"))
+        met = held.filter("part <> lead_part").filter(_may_link("packed", "lead_packed", num, den))
+        met = met.groupBy("part", "lead_part", "node", "lead").agg(F.count("*").alias("k"))
+        pairs = met.groupBy(F.least("part", "lead_part").alias("p"), F.greatest("part", "lead_part").alias("q")).agg(F.max_by(F.struct("node", "lead"), F.struct("k", "node", "lead")).alias("r")).select("r.*")
         pairs = pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
         pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if found:
