@@ -38,10 +38,15 @@ def _finite(c):
     return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
 
 
+def _corr(a, b):
+    """Pearson correlation over rows where both are given; null if either is constant (``corr`` itself fails then under ANSI)."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b)))
+
+
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every pair (upper triangle with diagonal), one scan; undefined ones are null."""
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    one = df.agg(*[F.corr(F.col(columns[i]).cast("double"), F.col(columns[j]).cast("double")).alias(f"corr__{i}__{j}") for i, j in pairs])
+    one = df.agg(*[_corr(F.col(columns[i]).cast("double"), F.col(columns[j]).cast("double")).alias(f"corr__{i}__{j}") for i, j in pairs])
     return _long_form(one, [[F.lit(columns[i]), F.lit(columns[j]), _finite(F.col(f"corr__{i}__{j}"))] for i, j in pairs], ["a", "b", "corr"])
 
 
