@@ -16,7 +16,7 @@ from loomwork.llm.queries import tokenizer_path
 from loomwork.staging import stage
 
 #: A document stays if the network gives its best language at least this probability.
-LEAST_LANGUAGE_SCORE = 0.6
+LEAST_LANGUAGE_SCORE = 0.5
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, list[str]]:

@@ -32,7 +32,7 @@ common.by_value(__name__)
 LENGTH, PAD = 256, 256
 EMBED, FILTERS, WIDTHS = 6, 16, (2, 3, 5)
 PER_LABEL, WINDOWS = 1000, 4
-EPOCHS, BATCH, RATE = 3, 64, 0.01
+EPOCHS, LEAST_STEPS, BATCH, RATE = 3, 400, 64, 0.01
 UNKNOWN = "und"
 
 
@@ -111,12 +111,14 @@ def train(codes: np.ndarray, target: np.ndarray, labels: list[str], seed: int =
     net, rng, step = Network(labels, seed), np.random.default_rng(seed), 0
     first = [np.zeros_like(p) for p in net.parameters()]
     second = [np.zeros_like(p) for p in net.parameters()]
-    for _ in range(EPOCHS):
+    batches = max(1, -(-len(codes) // BATCH))
+    epochs = max(EPOCHS, -(-LEAST_STEPS // batches))  # small samples are read more often
+    for _ in range(epochs):
         order = rng.permutation(len(codes))
         for k in range(0, len(order), BATCH):
             step += 1
             some = order[k : k + BATCH]
-            rate = RATE * (1 - 0.9 * step / (EPOCHS * -(-len(order) // BATCH)))
+            rate = RATE * (1 - 0.9 * step / (epochs * batches))
             for p, g, m, v in zip(net.parameters(), net.gradients(codes[some], target[some]), first, second, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
