@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.operators import cleaning, closure, compare, geo, graph, joins, privacy, quality, reports, resolve, selections, shape, stats, taxonomy, vectors
-from loomwork.plans import builder, macros
+from loomwork.functions import dates
+from loomwork.operators import cleaning, closure, compare, constraints, geo, graph, joins, privacy, quality, reports, resolve, selections, shape, stats, taxonomy, vectors
+from loomwork.plans import builder, cells, macros
 from loomwork.plans.notebook import Notebook
 from loomwork.sources import sinks
 from loomwork.streaming import events as streams
@@ -314,8 +315,8 @@ def merge_map(spark, sf_dir):
     return resolve.merge_values(rows, "name", counts.join(best, "fingerprint").select("value", "canonical"))
 
 
-@query("""with v as (select distinct p_name as value from part) select a.value as a, b.value as b, 1 - levenshtein(a.value, b.value) / length(b.value)::double as similarity from v a join v b
-on left(lower(a.value), 1) = left(lower(b.value), 1) and (length(b.value) > length(a.value) or (length(b.value) = length(a.value) and b.value > a.value)) where 1 - levenshtein(a.value, b.value) / length(b.value)::double > 0.7 - 1e-9""")
+@query(f"""with v as (select value, left({_FP}, 1) as block from (select distinct p_name as value from part)) select a.value as a, b.value as b, 1 - levenshtein(a.value, b.value) / length(b.value)::double as similarity from v a join v b
+on a.block = b.block and (length(b.value) > length(a.value) or (length(b.value) = length(a.value) and b.value > a.value)) where 1 - levenshtein(a.value, b.value) / length(b.value)::double > 0.7 - 1e-9""")
 def nearest_neighbour_pairs(spark, sf_dir):
     return resolve.near_pairs(resolve.value_counts(table(spark, sf_dir, "part"), "p_name"), 0.7, ascii_only=True)
 
@@ -676,6 +677,37 @@ def rule_reasoning(spark, sf_dir):
     return closure.reason(facts.unionByName(up))
 
 
+# --- dates, constraints, Python cells -----------------------------------------------------------
+
+
+@query("""select o_orderkey, date_trunc('day', o_orderdate)::timestamp as parsed from orders where o_orderkey % 5 <> 4 union all select o_orderkey, null from orders where o_orderkey % 5 = 4""")
+def parse_dates(spark, sf_dir):
+    styled = F.expr("""case o_orderkey % 5 when 0 then date_format(o_orderdate, 'M/d/yyyy') when 1 then date_format(o_orderdate, 'MMMM d, yyyy') when 2 then date_format(o_orderdate, 'yyyy-MM-dd')
+                       when 3 then date_format(o_orderdate, 'd MMM yyyy') else 'no date' end""")
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.parse_time(styled).alias("parsed"))
+
+
+@query("""select 'o_totalprice' as field, 'min_inclusive' as constraint_name, count(*) filter (where o_totalprice < 1000) as violations from orders union all select 'o_totalprice', 'max_inclusive', count(*) filter (where o_totalprice > 400000) from orders
+union all select 'o_orderstatus', 'min_count', count(*) filter (where o_orderstatus is null) from orders union all select 'o_orderstatus', 'enumeration', count(*) filter (where o_orderstatus not in ('F', 'O')) from orders
+union all select 'o_orderpriority', 'pattern', count(*) filter (where not regexp_matches(o_orderpriority, '^[1-3]-')) from orders union all select 'o_orderpriority', 'datatype', count(*) filter (where try_cast(o_orderpriority as integer) is null) from orders""")
+def shape_constraints(spark, sf_dir):
+    shapes = [constraints.Shape("o_totalprice", minimum=1000, maximum=400000), constraints.Shape("o_orderstatus", min_count=1, values=("F", "O")), constraints.Shape("o_orderpriority", pattern="^[1-3]-", datatype="int")]
+    return constraints.validate(table(spark, sf_dir, "orders"), shapes)
+
+
+@query("""select l_orderkey, l_linenumber, rank() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber)::int as price_rank from lineitem""")
+def python_cell_rank(spark, sf_dir):
+    """The rank of each line in its order, by a pandas function on groups of orders."""
+
+    def ranked(pdf):
+        pdf = pdf.sort_values(["l_orderkey", "l_extendedprice", "l_linenumber"], ascending=[True, False, True])
+        pdf["price_rank"] = (pdf.groupby("l_orderkey").cumcount() + 1).astype("int32")
+        return pdf[["l_orderkey", "l_linenumber", "price_rank"]]
+
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", F.pmod(F.xxhash64("l_orderkey"), F.lit(64)).alias("part"))
+    return cells.python_cell(lines, ranked, "l_orderkey bigint, l_linenumber int, price_rank int", ["part"])
+
+
 # --- streams ---------------------------------------------------------------------------------
 
 

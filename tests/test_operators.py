@@ -334,3 +334,36 @@ def test_sink_mappings(spark):
     assert sinks.cards(df, "title", "due").first().card == '{"title":"T","due_date":"2024-01-02","description":"about"}'
     assert sinks.journal_entries(df, "due", "amount").first().entry == '{"date":"2024-01-02","amount":0.0}'
     assert sinks.snapshot(df, "select 1")["sql_hash"] == sinks.fnv1a("select 1")
+
+
+def test_dates(spark):
+    from loomwork.functions import dates
+
+    df = spark.createDataFrame([("2024-03-04",), ("3/4/2024 5:06",), ("31/12/2024",), ("March 4, 2024",), ("2010",), ("x",), (None,)], "t string")
+    got = [str(r[0]) for r in df.select(dates.parse_time(F.col("t"))).collect()]
+    assert got == ["2024-03-04 00:00:00", "2024-03-04 05:06:00", "2024-12-31 00:00:00", "2024-03-04 00:00:00", "None", "None", "None"]
+    times = spark.createDataFrame([(1700000000,), (1700000000000,), (1700000000000000,)], "v long").select(dates.from_epoch(F.col("v"))).distinct()
+    assert times.count() == 1
+
+
+def test_shape_constraints(spark):
+    from loomwork.operators.constraints import Shape, validate, violating_rows
+
+    df = spark.createDataFrame([(["V-1", "V-2"], "status", 150.0), (["V-12"], "open", 50.0), (None, "open", None)], "vendor array<string>, status string, amount double")
+    shapes = [Shape("vendor", min_count=1, max_count=1, pattern="^V-"), Shape("status", values=("open", "paid")), Shape("amount", maximum=100)]
+    got = {(r.field, r.constraint_name): r.violations for r in validate(df, shapes).collect()}
+    assert got == {("vendor", "min_count"): 1, ("vendor", "max_count"): 1, ("vendor", "pattern"): 0, ("status", "enumeration"): 1, ("amount", "max_inclusive"): 1}
+    assert violating_rows(df, shapes).count() == 2
+
+
+def test_cells(spark, tmp_path):
+    from loomwork.plans import cells
+
+    df = spark.createDataFrame([(1, "a", 2.0)], "order_id int, region string, amount double")
+    assert cells.chart_binding(df) == {"x": "region", "y": "amount", "kind": "bar"}
+    assert cells.demo_names(df, {"region"}).columns == ["order_id", "field_1", "amount"]
+    (tmp_path / "f.txt").write_text("x")
+    one = cells.source_fingerprint(spark, str(tmp_path))
+    (tmp_path / "g.txt").write_text("y")
+    two = cells.source_fingerprint(spark, str(tmp_path))
+    assert cells.changed({"s": one}, {"s": two, "t": one}) == {"stale": ["s"], "new": ["t"], "gone": []}
