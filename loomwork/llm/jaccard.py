@@ -7,11 +7,13 @@ they share one among their first |x|-ceil(t|x|)+1.
 
 Order 1 puts shingles that are common over the whole corpus last (document
 frequencies are counted over all documents in a fixed-size table of counters and
-only their magnitude is used), then sorts by hash.  Its prefixes are joined.
-Pairs must also have enough elements left from the shared one on (positional
-filter), share enough elements of their whole prefixes (counted by joins), and share
-a prefix element under orders 2 and 3, which sort by other hashes; only pairs that
-pass every filter are verified on the whole sets.
+only their magnitude is used), then sorts by hash; its prefixes are joined.  Order 2
+sorts the prefixes by the exact frequency that this join finds, rarest first: a pair
+must meet while both still have as many prefix elements left as the threshold needs,
+which parts documents that only have a passage in common.  The pairs' common prefix
+elements are then counted, and pairs must share a prefix element under orders 3 and
+4, which sort by other hashes; only pairs that pass every filter are verified on the
+whole sets.
 
 No group is expanded to all its pairs.  Equal sets are one node.  Every node is
 first tested against the group's smallest node that it meets most often; then, for
@@ -47,6 +49,8 @@ common.by_value(__name__)
 COUNTERS, CELLS = 1 << 18, 1 << 12
 #: Up to so many ids (8 bytes each) go to all tasks to filter the texts where they are read.
 BROADCAST_IDS = 1_000_000
+#: Share of the ranks of level 0 that every prefix holds.
+SHARE = np.uint64(int(0.3 * (1 << 58)))
 _SEEDS = (np.uint64(0), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 
 
@@ -78,11 +82,15 @@ def set_hash(items: np.ndarray) -> int:
     return int(total.astype(np.int64))
 
 
-def ordered(items: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
-    """The elements in a global order: by level of corpus frequency, then by a hash of that order's own."""
+def rank_of(items: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
+    """Ranks of a global order: by level of corpus frequency, then by a hash of that order's own."""
     mixed = items if order == 0 else common.mix(items ^ _SEEDS[order])
-    rank = (level[(items >> np.uint64(46)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (mixed >> np.uint64(6))
-    return items[np.argsort(rank, kind="stable")]
+    return (level[(items >> np.uint64(46)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (mixed >> np.uint64(6))
+
+
+def ordered(items: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
+    """The (sorted) elements in a global order; equal ranks by value."""
+    return items[np.argsort(rank_of(items, level, order), kind="stable")]
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -139,67 +147,76 @@ def _levels(survey: DataFrame) -> np.ndarray:
 
 
 def _prefixes(rows: DataFrame, level: np.ndarray, n: int, num: int, den: int) -> DataFrame:
-    """(token, node, size and position packed) for the order-1 prefix of every set, once for each set and task."""
+    """(token, node, n, p, cut) for the order-1 prefix of every set, once for each set and task.
+
+    A prefix holds all elements up to the rank SHARE, or further up to the length that
+    the threshold asks for; ``cut`` is 0 in the first case and else its last rank.  Two
+    sets' prefixes share every common element up to the smaller cut.
+    """
     table = rows.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            tokens, nodes, packed, held = [], [], [], 0
-
-            def flush(tokens=tokens, nodes=nodes, packed=packed) -> pa.RecordBatch:
-                out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, nodes, packed)], names=["token", "node", "packed"])
-                for x in (tokens, nodes, packed):
-                    x.clear()
-                return out
-
+            parts: list[tuple] = []
+            held = 0
             for _, items in _sets_of(batch, n):
                 if not len(items) or (node := set_hash(items)) in seen:
                     continue
                 seen.add(node)
-                size = prefix_length(len(items), num, den)
-                head = ordered(items, table.value, 0)[:size]
-                tokens.append(head.view(np.int64))
-                nodes.append(np.full(size, node, dtype=np.int64))
-                packed.append((len(items) << 32) | np.arange(size, dtype=np.int64))
+                order = ordered(items, table.value, 0)
+                least, wide = prefix_length(len(items), num, den), int((rank_of(order, table.value, 0) < SHARE).sum())
+                size = max(least, wide)
+                cut = 0 if wide >= least else int(rank_of(order[size - 1 : size], table.value, 0)[0] >> np.uint64(1))
+                parts.append((order[:size].view(np.int64), node, len(items), size, cut))
                 held += size
                 if held > 200_000:
-                    yield flush()
-                    held = 0
-            if tokens:
-                yield flush()
+                    yield flushed(parts)
+                    parts, held = [], 0
+            if parts:
+                yield flushed(parts)
 
-    return rows.mapInArrow(run, "token bigint, node bigint, packed bigint")
+    def flushed(parts: list[tuple]) -> pa.RecordBatch:
+        sizes = [x[3] for x in parts]
+        columns = [np.concatenate([x[0] for x in parts]), *(np.repeat(np.array([x[k] for x in parts], dtype=t), sizes) for k, t in ((1, np.int64), (2, np.int32), (3, np.int32), (4, np.int64)))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "n", "p", "cut"])
 
+    return rows.mapInArrow(run, "token bigint, node bigint, n int, p int, cut bigint")
 
-def _may_link(p: str, q: str, num: int, den: int):
-    """Positional and size filter on two packed (size, position): enough elements left for the overlap needed."""
-    n = lambda c: F.shiftright(F.col(c), 32)
-    left = lambda c: n(c) - F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.least(left(p), left(q)) * (num + den) >= num * (n(p) + n(q))
 
+def _needed(x: str, y: str, num: int, den: int):
+    """Least number of common prefix elements of a pair that reaches the threshold; columns n_, p_, cut_ of both.
 
-def _enough_shared(pairs: DataFrame, grouped: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose order-1 prefixes share enough elements.
-
-    All shared prefix elements are counted.  What else the sets have in common lies
-    behind the last shared one in both sets, and behind the prefix that ends first.
+    The overlap must be a; of the elements up to the smaller cut, a set may miss n - a.
     """
-    g = grouped.select("node", "token", F.shiftright("packed", 32).alias("n"), F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF)).alias("p"))
-    left, right = (g.withColumnsRenamed({"node": x, "n": f"n{x}", "p": f"p{x}"}) for x in "ab")
+    c = lambda name, side: F.col(f"{name}{side}")
+    overlap = F.floor((num * (c("n", x) + c("n", y)) + (num + den - 1)) / (num + den))
+    own = lambda side: c("p", side) - (c("n", side) - overlap)
+    return F.greatest(F.lit(1), F.when(c("cut", x) == c("cut", y), F.greatest(own(x), own(y))).when(c("cut", x) < c("cut", y), own(x)).otherwise(own(y)))
+
+
+def _may_link(x: str, y: str, num: int, den: int):
+    """Size filter, and positional filter in the order by exact frequency: enough prefix elements left from the shared one on."""
+    c = lambda name, side: F.col(f"{name}{side}")
+    alike = F.least(c("n", x), c("n", y)) * den >= F.greatest(c("n", x), c("n", y)) * num
+    return alike & (F.least(c("p", x) - c("q", x), c("p", y) - c("q", y)) >= _needed(x, y, num, den))
+
+
+def _enough_shared(pairs: DataFrame, elements: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose prefixes share as many elements as the threshold needs, counted by joins."""
+    g = elements.select("node", "token", "n", "p", "cut")
+    left, right = (g.withColumnsRenamed({"node": x, "n": f"n_{x}", "p": f"p_{x}", "cut": f"cut_{x}"}) for x in "ab")
     shared = pairs.join(left, "a").join(right, ["b", "token"])
-    counted = shared.groupBy("a", "b").agg(F.count("*").alias("k"), *[F.max(c).alias(c) for c in ("na", "nb", "pa", "pb")])
-    behind = F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1, F.ceil(F.greatest("na", "nb") * num / den) - 1)
-    enough = (F.col("k") + behind) * (num + den) >= num * (F.col("na") + F.col("nb"))
-    return counted.filter(enough & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)).select("a", "b")
+    counted = shared.groupBy("a", "b").agg(F.count("*").alias("k"), *[F.max(f"{c}_{x}").alias(f"{c}_{x}") for c in ("n", "p", "cut") for x in "ab"])
+    return counted.filter(F.col("k") >= _needed("_a", "_b", num, den)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, grouped: DataFrame, rows: DataFrame, survey: DataFrame, level: np.ndarray, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets pass orders 2 and 3 and then the exact test."""
+def _verified(pairs: DataFrame, elements: DataFrame, rows: DataFrame, survey: DataFrame, level: np.ndarray, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets pass orders 3 and 4 and then the exact test."""
     table = rows.sparkSession.sparkContext.broadcast(level)
     of = survey.filter("node is not null").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("id"))
     texts = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "text")
-    pairs = _enough_shared(pairs, grouped, num, den)
+    pairs = _enough_shared(pairs, elements, num, den)
     named = stage(pairs.join(of.select(F.col("node").alias("a"), F.col("id").alias("ida")), "a").join(of.select(F.col("node").alias("b"), F.col("id").alias("idb")), "b"), "named")
     needed = stage(named.select(F.explode(F.array("ida", "idb")).alias("id")).distinct(), "needed")
     if needed.count() <= BROADCAST_IDS:  # counted: a filter at the scan; beyond, the join below alone
@@ -242,7 +259,7 @@ def _verified(pairs: DataFrame, grouped: DataFrame, rows: DataFrame, survey: Dat
 def _split_groups(grouped: DataFrame, parts: DataFrame) -> DataFrame:
     """The groups that hold more than one component, each row with its own, the first node's and the largest one."""
     named = parts.select(F.col("node").alias("x"), F.col("component"))
-    held = grouped.join(named, F.col("node") == F.col("x"), "left").select("token", "node", "packed", "lead", "lead_packed", F.coalesce("component", "node").alias("part"))
+    held = grouped.join(named, F.col("node") == F.col("x"), "left").select(*grouped.columns, F.coalesce("component", "node").alias("part"))
     sizes = held.groupBy("token", "part").agg(F.count("*").alias("k"), F.max(F.when(F.col("node") == F.col("lead"), F.col("part"))).alias("own"))
     split = sizes.groupBy("token").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.max("own").alias("lead_part"), F.count("*").alias("parts"))
     return stage(held.join(split.filter("parts > 1").drop("parts"), "token"), "split")
@@ -254,26 +271,33 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
     survey = stage(_survey(rows, n), "survey")
     level = _levels(survey)
+    # Elements that only one set has are dropped; the others get their exact frequency among the prefixes.
+    of_token = Window.partitionBy("token")
+    elements = _prefixes(rows, level, n, num, den)
+    elements = elements.select("*", F.count("*").over(of_token).alias("df"), F.min("node").over(of_token).alias("least"), F.max("node").over(of_token).alias("most"))
+    elements = elements.filter("least <> most").drop("least", "most").distinct()
+    # Order by frequency: dropped elements come first, then the rarest; q is the place in that order.
+    nth, all_of = F.row_number().over(Window.partitionBy("node").orderBy("df", "token")), F.count("*").over(Window.partitionBy("node"))
+    elements = stage(elements.select("token", "node", "n", "p", "cut", (F.col("p") - all_of + nth - 1).cast("int").alias("q")), "elements")
     every = Window.partitionBy("token").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    grouped = _prefixes(rows, level, n, num, den).select(
-        "token", "node", "packed",
-        F.first("node").over(every).alias("lead"), F.first("packed").over(every).alias("lead_packed"), F.last("node").over(every).alias("last"),
-    )
-    grouped = stage(grouped.filter("lead <> last").drop("last").distinct(), "groups")
+    leads = [F.first(c).over(every).alias(f"{c}_lead") for c in ("node", "n", "p", "cut", "q")]
+    near_front = F.col("q") <= F.col("n") - F.ceil(F.col("n") * num / den)  # else no partner of any size is left enough
+    grouped = elements.filter(near_front).select("*", *leads, F.last("node").over(every).alias("last"))
+    grouped = stage(grouped.filter("node_lead <> last").drop("last").withColumnRenamed("node_lead", "lead"), "groups")
 
     # Round 1: every node against the first node that it shares most prefix shingles with.
-    near = grouped.filter("node <> lead").filter(_may_link("packed", "lead_packed", num, den)).groupBy("node", "lead").agg(F.count("*").alias("k"))
+    near = grouped.filter("node <> lead").filter(_may_link("", "_lead", num, den)).groupBy("node", "lead").agg(F.count("*").alias("k"))
     near = near.groupBy("node").agg(F.max_by("lead", F.struct("k", "lead")).alias("lead"))
     pairs = stage(near.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), "pairs")
     tested, links, found = pairs, None, True
     while found:
-        new = stage(_verified(pairs, grouped, rows, survey, level, n, num, den), "links")
+        new = stage(_verified(pairs, elements, rows, survey, level, n, num, den), "links")
         found = not new.isEmpty()
         links = new if links is None else links.unionByName(new)
         parts = connected_components(links, "a", "b")
         # Next rounds: for every two components that meet, the node and first node that meet most often.
         held = _split_groups(grouped, parts)
-        met = held.filter("part <> lead_part").filter(_may_link("packed", "lead_packed", num, den))
+        met = held.filter("part <> lead_part").filter(_may_link("", "_lead", num, den))
         met = met.groupBy("part", "lead_part", "node", "lead").agg(F.count("*").alias("k"))
         pairs = met.groupBy(F.least("part", "lead_part").alias("p"), F.greatest("part", "lead_part").alias("q")).agg(F.max_by(F.struct("node", "lead"), F.struct("k", "node", "lead")).alias("r")).select("r.*")
         pairs = pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
@@ -283,11 +307,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
             tested = tested.unionByName(pairs)
 
     # Groups that still hold more than one component: all outside the largest against all not of their own.
-    left = held.filter("part <> main").select("token", F.col("node").alias("u"), F.col("packed").alias("pu"), F.col("part").alias("su"), "main")
-    right = held.select("token", F.col("node").alias("v"), F.col("packed").alias("pv"), F.col("part").alias("sv"))
-    open_pairs = left.join(right, "token").filter((F.col("su") != F.col("sv")) & ((F.col("sv") == F.col("main")) | (F.col("u") < F.col("v")))).filter(_may_link("pu", "pv", num, den))
-    last = open_pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = stage(_verified(stage(last, "pairs"), grouped, rows, survey, level, n, num, den), "links")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "p", "cut", "q", "part")]
+    left = held.filter("part <> main").select("token", "main", *side("u"))
+    right = held.select("token", *side("v"))
+    other = (F.col("part_u") != F.col("part_v")) & ((F.col("part_v") == F.col("main")) | (F.col("node_u") < F.col("node_v")))
+    open_pairs = left.join(right, "token").filter(other).filter(_may_link("_u", "_v", num, den))
+    last = open_pairs.select(F.least("node_u", "node_v").alias("a"), F.greatest("node_u", "node_v").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    more = stage(_verified(stage(last, "pairs"), elements, rows, survey, level, n, num, den), "links")
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more), "a", "b")
 
