@@ -104,10 +104,10 @@ def _union(parts: list[str]) -> str:
 
 
 @query(_union([f"""select '{c}' as column_name, count({c}) as n, count(*) - count({c}) as nulls, count(distinct {c}) as n_distinct, min({c})::double as min, max({c})::double as max,
-round(avg({c}), 4) as mean, round(stddev({c}), 4) as stddev, quantile_cont({c}, 0.5)::double as median from lineitem""" for c in _NUMBERS] + ["""select 'l_returnflag', count(l_returnflag),
+round(avg({c}), 4) as mean, round(stddev({c}), 4) as stddev, round(quantile_cont({c}, 0.5)::double, 6) as median from lineitem""" for c in _NUMBERS] + ["""select 'l_returnflag', count(l_returnflag),
 count(*) - count(l_returnflag), count(distinct l_returnflag), null, null, null, null, null from lineitem"""]))
 def descriptives_lineitem(spark, sf_dir):
-    return stats.descriptives(table(spark, sf_dir, "lineitem"), [*_NUMBERS, "l_returnflag"]).withColumns({"mean": F.round("mean", 4), "stddev": F.round("stddev", 4)})
+    return stats.descriptives(table(spark, sf_dir, "lineitem"), [*_NUMBERS, "l_returnflag"]).withColumns({"mean": F.round("mean", 4), "stddev": F.round("stddev", 4), "median": F.round("median", 6)})
 
 
 @query(_union([f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 6) as corr from lineitem" for i, a in enumerate(_NUMBERS) for b in _NUMBERS[i:]]))
@@ -133,13 +133,13 @@ def column_profile(spark, sf_dir):
 
 def _iqr_sql(t: str, c: str) -> str:
     q = f"(select quantile_cont({c}, 0.25) as a, quantile_cont({c}, 0.75) as b, quantile_cont({c}, 0.5) as m from {t})"
-    return f"""select '{c}' as column_name, count({c}) as n, min({c})::double as min, any_value(a)::double as q1, any_value(m)::double as median, any_value(b)::double as q3, max({c})::double as max,
+    return f"""select '{c}' as column_name, count({c}) as n, min({c})::double as min, round(any_value(a)::double, 6) as q1, round(any_value(m)::double, 6) as median, round(any_value(b)::double, 6) as q3, max({c})::double as max,
     count(*) filter (where {c} < a - 1.5 * (b - a) or {c} > b + 1.5 * (b - a)) as outliers from {t}, {q}"""
 
 
 @query(_union([_iqr_sql("orders", "o_totalprice"), _iqr_sql("orders", "o_custkey")]))
 def numeric_profile_iqr(spark, sf_dir):
-    return stats.numeric_profile(table(spark, sf_dir, "orders"), ["o_totalprice", "o_custkey", "o_orderstatus"])
+    return stats.numeric_profile(table(spark, sf_dir, "orders"), ["o_totalprice", "o_custkey", "o_orderstatus"]).withColumns({c: F.round(c, 6) for c in ("q1", "median", "q3")})
 
 
 @query("""select 'c_name' as column_name, 0.0::double as null_share, count(distinct c_name) as n_distinct, null::varchar as min, null::varchar as max from customer
@@ -433,9 +433,10 @@ def error_by_hour(spark, sf_dir):
     return reports.counts_by_time(table(spark, sf_dir, "events").filter("event_type = 'error'"), "ts", "hour")
 
 
-@query("select event_type, quantile_cont(value, 0.5) as p50, quantile_cont(value, 0.95) as p95, quantile_cont(value, 0.99) as p99, count(*) as n from events group by 1")
+@query("select event_type, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99, count(*) as n from events group by 1")
 def latency_percentiles(spark, sf_dir):
-    return reports.percentiles(table(spark, sf_dir, "events"), "event_type", "value")
+    out = reports.percentiles(table(spark, sf_dir, "events"), "event_type", "value")
+    return out.withColumns({c: F.round(c, 6) for c in ("p50", "p95", "p99")})
 
 
 @query("select date_trunc('day', ts)::timestamp as period, count(distinct user_id) as n from events group by 1")
