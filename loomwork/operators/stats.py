@@ -18,20 +18,32 @@ def _long_form(one_row: DataFrame, rows: list[list], names: list[str]) -> DataFr
 
 
 def descriptives(df: DataFrame, columns: list[str]) -> DataFrame:
-    """count, nulls and distinct of every column; min, max, mean, stddev and median of numeric ones; a row for each column."""
+    """count, nulls and distinct of every column; min, max, mean, stddev and median of numeric ones; a row for each column, two scans."""
     aggs = []
     for i, c in enumerate(columns):
         v = F.col(f"`{c}`")
-        aggs += [F.count(v).alias(f"c{i}_count"), F.count_if(v.isNull()).alias(f"c{i}_nulls"), F.count_distinct(v).alias(f"c{i}_distinct")]
+        aggs += [F.count(v).alias(f"c{i}_count"), F.count_if(v.isNull()).alias(f"c{i}_nulls")]
         if is_numeric(df, c):
             d = v.cast("double")
             aggs += [F.min(d).alias(f"c{i}_min"), F.max(d).alias(f"c{i}_max"), F.avg(d).alias(f"c{i}_mean"), F.stddev(d).alias(f"c{i}_stddev"), F.percentile(d, F.lit(0.5)).alias(f"c{i}_median")]
     rows = []
     for i, c in enumerate(columns):
-        own = [F.lit(c), *(F.col(f"c{i}_{x}") for x in ("count", "nulls", "distinct"))]
+        own = [F.lit(c), *(F.col(f"c{i}_{x}") for x in ("count", "nulls"))]
         stats = [_finite(F.col(f"c{i}_{x}")) if is_numeric(df, c) else F.lit(None).cast("double") for x in ("min", "max", "mean", "stddev", "median")]
         rows.append(own + stats)
-    return _long_form(df.agg(*aggs), rows, ["column_name", "n", "nulls", "n_distinct", "min", "max", "mean", "stddev", "median"])
+    facts = _long_form(df.agg(*aggs), rows, ["column_name", "n", "nulls", "min", "max", "mean", "stddev", "median"])
+    out = facts.join(distinct_counts(df, columns), "column_name", "left")
+    return out.select("column_name", "n", "nulls", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), "min", "max", "mean", "stddev", "median")
+
+
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, n_distinct) of all columns: one pass of (column, value) rows, combined before they are dealt out.
+
+    Many distinct counts in one aggregate would multiply every row by their number and carry all other state along.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
+    kinds = df.select(F.explode(pairs).alias("r")).select("r.*").filter("value is not null").distinct()
+    return kinds.groupBy("column_name").agg(F.count("*").alias("n_distinct"))
 
 
 def _finite(c):
@@ -63,9 +75,10 @@ def column_profile(df: DataFrame, columns: list[str], top: int = 5) -> DataFrame
     aggs = [F.count(F.lit(1)).alias("total")]
     for i, c in enumerate(columns):
         n = F.length(text[c])
-        aggs += [F.count_if(text[c].isNull()).alias(f"n{i}"), F.count_distinct(text[c]).alias(f"d{i}"), F.min(n).alias(f"l{i}"), F.max(n).alias(f"h{i}"), F.avg(n).alias(f"a{i}")]
-    rows = [[F.lit(c), F.col("total"), F.col(f"n{i}"), F.col(f"d{i}"), F.col(f"l{i}").cast("long"), F.col(f"h{i}").cast("long"), F.col(f"a{i}")] for i, c in enumerate(columns)]
-    facts = _long_form(df.agg(*aggs), rows, ["column_name", "total", "nulls", "n_distinct", "min_length", "max_length", "avg_length"])
+        aggs += [F.count_if(text[c].isNull()).alias(f"n{i}"), F.min(n).alias(f"l{i}"), F.max(n).alias(f"h{i}"), F.avg(n).alias(f"a{i}")]
+    rows = [[F.lit(c), F.col("total"), F.col(f"n{i}"), F.col(f"l{i}").cast("long"), F.col(f"h{i}").cast("long"), F.col(f"a{i}")] for i, c in enumerate(columns)]
+    facts = _long_form(df.agg(*aggs), rows, ["column_name", "total", "nulls", "min_length", "max_length", "avg_length"])
+    facts = facts.join(distinct_counts(df, columns), "column_name", "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
     counted = top_values(df, columns, top)
     lists = counted.groupBy("column_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]), " | ").alias("top_values"))
     return facts.join(lists, "column_name", "left")
