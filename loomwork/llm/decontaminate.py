@@ -9,11 +9,14 @@ same template.
    benchmark item, are hash-joined; a shared run of 8 tokens always gives a hit.
    Item windows that are more than half placeholders are left out, as they say nothing.
 2. A hit fixes an alignment (document place minus item place).  Along it the item's
-   tokens are compared with the document's.
-3. Slot consistency: each alignment's slots must map every item value to one document
-   value; an alignment that contradicts itself is dropped.
-4. A document is reported for an item if the tokens found on consistent alignments are
-   at least half of the item's, or 13 tokens in a row.
+   tokens are compared with the document's, raw and as templates.
+3. Verbatim evidence comes first: the longest run of equal raw tokens counts whatever
+   slots stand elsewhere.
+4. Slot consistency, for evidence by placeholders: within a run of consecutive places
+   every item value must stand for one document value, or the run is dropped; of the
+   other runs only the slots that contradict a run of a window or more are ignored.
+5. A document is reported for an item if the tokens found are at least half of the
+   item's, or 13 tokens in a row.
 
 The item windows are broadcast only up to ``BROADCAST_WINDOWS`` of them (counted
 first); beyond, the same join is shuffled.
@@ -79,45 +82,92 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
     items = items.filter(F.size("item") >= LEAST_TOKENS).withColumn("item_row", F.xxhash64("item_id", "item_raw")).distinct()
     windows = items.select("item_row", "item", F.posexplode(_windows(F.col("item"), 1)).alias("at", "window"))
     literal = F.size(F.filter(F.slice(F.col("item"), F.col("at") + 1, W), lambda t: ~_is_slot(t)))
-    windows = windows.filter(literal * 2 >= W).select("item_row", "at", "window").persist()
+    windows = windows.filter(literal * 2 >= W).select("item_row", F.size("item").alias("n"), "at", "window").persist()
     if windows.count() <= BROADCAST_WINDOWS:
         windows = F.broadcast(windows)
 
     tokens = rows.select("doc_id", "text_hash", template_tokens(F.col("text")).alias("doc"))
     spread = tokens.select("doc_id", "text_hash", F.posexplode(_windows(F.col("doc"), STRIDE)).alias("nth", "window"))
-    hits = spread.join(windows, "window").select("doc_id", "text_hash", "item_row", (F.col("nth") * STRIDE - F.col("at")).alias("shift"))
-    met = hits.groupBy("doc_id", "text_hash", "item_row").agg(F.collect_set("shift").alias("shifts"))
-
-    wanted = met.withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "hash")
-    both = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["id"]) & (rows["text_hash"] == wanted["hash"])).drop("id", "hash").join(items, "item_row")
-    both = both.withColumn("doc", template_tokens(F.col("text"))).withColumn("doc_raw", raw_tokens(F.col("text"))).drop("text")
-
-    def aligned(shift: Column) -> Column:
-        """The places (item i, document j) on one alignment where the templates agree."""
-        pairs = F.transform(F.sequence(F.lit(0), F.size("item") - 1), lambda i: F.struct(i.alias("i"), (i + shift).alias("j")))
-        return F.filter(pairs, lambda p: (p["j"] >= 0) & (p["j"] < F.size("doc")) & (F.get("item", p["i"]) == F.get("doc", p["j"])))
-
-    def slots(pairs: Column) -> Column:
-        held = F.filter(pairs, lambda p: _is_slot(F.get("item", p["i"])))
-        return F.array_distinct(F.transform(held, lambda p: F.struct(F.get("item_raw", p["i"]).alias("of"), F.get("doc_raw", p["j"]).alias("is"))))
-
-    def consistent(pairs: Column) -> Column:
-        mapped = slots(pairs)
-        return F.size(mapped) == F.size(F.array_distinct(F.transform(mapped, lambda x: x["of"])))
-
-    kept = both.withColumn("pairs", F.filter(F.transform("shifts", aligned), consistent)).drop("shifts")
-    places = F.array_sort(F.array_distinct(F.transform(F.flatten("pairs"), lambda p: p["i"])))
-    measured = kept.withColumn("places", places).withColumn("item_tokens", F.size("item"))
-    # Longest run of places: consecutive places keep the difference from their index.
+    hits = spread.join(windows, "window").select("doc_id", "text_hash", "item_row", "n", (F.col("nth") * STRIDE - F.col("at")).alias("shift"))
+    met = hits.groupBy("doc_id", "text_hash", "item_row").agg(F.collect_set("shift").alias("shifts"), F.first("n").alias("n"))
+    wanted = met.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.collect_list(F.struct("item_row", "n", "shifts")).alias("met"))
+
+    # A document is split into tokens once; of its tokens only the stretches that lie along an item go on.
+    both = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["id"]) & (rows["text_hash"] == wanted["hash"]))
+    both = both.select("doc_id", "text_hash", "met", template_tokens(F.col("text")).alias("doc"), raw_tokens(F.col("text")).alias("doc_raw"))
+
+    def stretch(shift: Column, n: Column) -> Column:
+        at = F.greatest(shift, F.lit(0))
+        size = F.least(shift + n, F.size("doc")) - at
+        return F.struct(shift.alias("shift"), at.alias("at"), F.slice("doc", at + 1, size).alias("t"), F.slice("doc_raw", at + 1, size).alias("r"))
+
+    cut = F.transform("met", lambda m: F.struct(m["item_row"].alias("item_row"), F.transform(m["shifts"], lambda s: stretch(s, m["n"])).alias("along")))
+    both = both.select("doc_id", "text_hash", F.explode(cut).alias("m")).select("doc_id", "text_hash", "m.*").join(items, "item_row")
+    along = F.transform("along", _aligned)
+    # The arrays pass through explode, so that no later filter computes them again.
+    held = both.select("doc_id", "text_hash", "item_id", F.size("item").alias("item_tokens"), F.explode(F.array(along)).alias("along"))
+    return _measured(held).filter((F.col("coverage") >= MIN_COVERAGE) | (F.col("longest_run") >= MIN_RUN))
+
+
+def _aligned(seg: Column) -> Column:
+    """places: struct(i, j, slot, of, is) where item and document agree along one shift; literal: the longest run of equal raw tokens."""
+    i = F.sequence(seg["at"] - seg["shift"], seg["at"] - seg["shift"] + F.size(seg["t"]) - 1)
+
+    def place(i: Column) -> Column:
+        k = i + seg["shift"] - seg["at"]
+        of, got = F.get("item_raw", i), F.get(seg["r"], k)
+        same = of == got
+        return F.struct(i.alias("i"), (i + seg["shift"]).alias("j"), _is_slot(F.get("item", i)).alias("slot"), of.alias("of"), got.alias("is"),
+                        same.alias("same"), (same | (F.get("item", i) == F.get(seg["t"], k))).alias("like"))
+
+    every = F.transform(i, place)
+    likes, same = _runs(F.filter(every, lambda p: p["like"])), _runs(F.filter(every, lambda p: p["same"]))
+    literal = F.coalesce(F.array_max(F.transform(same, F.size)), F.lit(0))
+    return F.struct(_agreeing(F.filter(likes, _consistent)).alias("places"), literal.alias("literal"))
+
+
+def _runs(places: Column) -> Column:
+    """Places in order cut into runs of consecutive ones: those keep the difference from their index."""
+    keyed = F.transform(places, lambda p, k: F.struct((p["i"] - k).alias("key"), p.alias("p")))
+    keys = F.array_distinct(F.transform(keyed, lambda x: x["key"]))
+    return F.transform(keys, lambda key: F.transform(F.filter(keyed, lambda x: x["key"] == key), lambda x: x["p"]))
+
+
+def _slots(places: Column) -> Column:
+    return F.array_distinct(F.transform(F.filter(places, lambda p: p["slot"]), lambda p: F.struct(p["of"].alias("of"), p["is"].alias("is"))))
+
+
+def _consistent(places: Column) -> Column:
+    mapped = _slots(places)
+    return F.size(mapped) == F.size(F.array_distinct(F.transform(mapped, lambda x: x["of"])))
+
+
+def _agreeing(runs: Column) -> Column:
+    """The places of runs that each agree in themselves, without slots that contradict the runs of a window or more (or, outside of those, any run)."""
+    core = _slots(F.flatten(F.filter(runs, lambda r: F.size(r) >= W)))
+    every = _slots(F.flatten(runs))
+
+    def stays(p: Column, among: Column) -> Column:
+        return ~p["slot"] | ~F.exists(among, lambda x: (x["of"] == p["of"]) & (x["is"] != p["is"]))
+
+    kept = F.transform(runs, lambda r: F.when(F.size(r) >= W, F.filter(r, lambda p: stays(p, core))).otherwise(F.filter(r, lambda p: stays(p, every))))
+    return F.flatten(kept)
+
+
+def _measured(held: DataFrame) -> DataFrame:
+    """One row for each pair of a document row and an item, with its evidence."""
+    every = F.flatten(F.transform("along", lambda a: a["places"]))
+    places = F.array_sort(F.array_distinct(F.transform(every, lambda p: p["i"])))
+    literal = F.array_max(F.transform("along", lambda a: a["literal"]))
+    got = held.select("doc_id", "text_hash", "item_id", "item_tokens", literal.alias("literal"), _slots(every).alias("mapped"), F.explode(F.array(places)).alias("places"))
     runs = F.transform("places", lambda x, k: x - k)
     longest = F.coalesce(F.array_max(F.transform(F.array_distinct(runs), lambda v: F.size(F.filter(runs, lambda x: x == v)))), F.lit(0))
-    flat_slots = F.flatten(F.transform("pairs", slots))
-    out = measured.select(
-        "doc_id", "text_hash", "item_id", F.size("places").alias("matched"), "item_tokens",
-        (F.size("places") / F.col("item_tokens")).alias("coverage"), longest.alias("longest_run"),
-        F.size(flat_slots).alias("slots"), F.forall(flat_slots, lambda x: x["of"] == x["is"]).alias("verbatim"),
-    )
-    return out.filter((F.col("coverage") >= MIN_COVERAGE) | (F.col("longest_run") >= MIN_RUN))
+    got = got.withColumn("placed", F.size("places")).withColumn("longest", longest)
+    matched = F.greatest("placed", "literal")
+    return got.select(
+        "doc_id", "text_hash", "item_id", matched.alias("matched"), "item_tokens", (matched / F.col("item_tokens")).alias("coverage"), F.greatest("longest", "literal").alias("longest_run"),
+        F.size("mapped").alias("slots"), ((F.col("literal") >= F.col("placed")) | F.forall("mapped", lambda x: x["of"] == x["is"])).alias("verbatim"),
+    )
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -304,6 +304,19 @@ def test_leaks(documents, items):
     assert sorted(r.doc_id for r in kept.collect()) == [12, 13, 14, 15] and kept.columns == df.columns
 
 
+def test_a_contradiction_leaves_verbatim_runs(documents, spark):
+    item = "Peter wrote that the old mill near Anna was sold to Anna in 12 parts before the great flood came over the wide green valley and took 12 bridges away with much of what the people of the place had ever built there"
+    words = item.split()
+    # A copy of 16 words, then other text in which a name stands by chance where the item repeats one.
+    partial = " ".join(words[:9]) + " told to Berta " + "x y z u v w " * 8
+    copied = " ".join(words[:25]) + " and took 15 " + "x y z u v w " * 8
+    # All of the item, but two occurrences of one number no longer agree.
+    edited = item.replace("took 12", "took 13")
+    rows = [(1, copied), (2, edited), (3, partial)]
+    got = {r["doc_id"]: r for r in rows_of(decontaminate.leaks(documents(rows), spark.createDataFrame([(1, item)], "item_id long, text string")))}
+    assert set(got) == {1, 2} and got[2]["verbatim"] is True and got[1]["longest_run"] >= 13
+
+
 def test_templates_keep_the_token_count(docs):
     wrong = docs.select(F.size(decontaminate.raw_tokens(F.coalesce("text", F.lit("")))).alias("a"), F.size(decontaminate.template_tokens(F.coalesce("text", F.lit("")))).alias("b")).filter("a <> b")
     assert wrong.count() == 0
