@@ -2,12 +2,14 @@
 
 Texts become templates: words in lower case without punctuation, in which numbers,
 names (capitalised words inside a sentence) and units after a number are typed
-placeholders.  So a question asked again with other numbers, names or units has the
-same template.
-
-1. Windows of 6 template tokens, every third one of a document and all of a
-   benchmark item, are hash-joined; a shared run of 8 tokens always gives a hit.
-   Item windows that are more than half placeholders are left out, as they say nothing.
+placeholders.  A number with its separators is one token, and so is a run of names.
+So a question asked again with other numbers, names or units has the same template.
+
+1. All windows of 6 tokens of documents and benchmark items are hash-joined, raw and as
+   templates, so a shared run of 6 tokens always gives a hit.  As a template, an item
+   window that is more than half placeholders says nothing; it is met by its raw tokens.
+   Items of 3 to 5 tokens are one window of their length, joined in the same way; those
+   of 1 or 2 tokens are met by documents that hold nothing else.
 2. A hit fixes an alignment (document place minus item place).  Along it the item's
    tokens are compared with the document's, raw and as templates.
 3. Verbatim evidence comes first: the longest run of equal raw tokens counts whatever
@@ -21,8 +23,7 @@ same template.
 The item windows are broadcast only up to ``BROADCAST_WINDOWS`` of them (counted
 first); beyond, the same join is shuffled.
 
-Defined cases: null and empty texts match nothing; items of fewer than 8 tokens match
-nothing; a repeated document row is reported once for each row; equal items are items
+Defined cases: null and empty texts match nothing; a repeated document row is reported once for each row; equal items are items
 of their own; null ids are kept; empty tables give no rows; extra columns are ignored.
 """
 
@@ -31,13 +32,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-W, STRIDE = 6, 3
-LEAST_TOKENS = W + STRIDE - 1
+W = 6
+#: Items of fewer tokens are phrases of any text.
+LEAST_INSIDE = 3
 MIN_COVERAGE, MIN_RUN = 0.5, 13
 BROADCAST_WINDOWS = 500_000
 
 # Private-use signs stand for the placeholders, so that no text's own word is one.
 NAME, NUMBER, UNIT = "", "", ""
+#: Stands for what separates the parts of one number, or the names of one run.
+JOINT = ""
 #: Fixed list: unit words that count after a number.
 UNITS = (
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t lb lbs oz gram grams kilogram kilograms ton tons "
@@ -45,22 +49,29 @@ UNITS = (
     "month months year years usd eur gbp dollar dollars cent cents euro euros pound pounds percent degree degrees kmh mph kph "
     "byte bytes kb mb gb tb hz khz mhz ghz w kw watt watts v volt volts meter meters metre metres kilometer kilometers"
 )
-_NOT_WORD = r"[^\p{L}\p{N}\x{E001}]+"
-_NAMES = r"(?<=[\p{Ll}\p{N},;] )\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
+_NOT_WORD = r"[^\p{L}\p{N}\x{E001}\x{E004}]+"
+_NAMES = r"(?<=[\p{Ll}\p{N},;] )\p{Lu}\p{Ll}+(?:\x{E004}\p{Lu}\p{Ll}+)*(?![\p{L}\p{N}\x{E004}])"
+_IN_NUMBER = r"(?<=\p{N})[.,:'](?=\p{N})"
+_IN_NAMES = r" (?=\p{Lu}\p{Ll}+(?![\p{L}\p{N}]))(?<=[\p{Ll}\p{N},;] \p{Lu}\p{Ll}{1,40} )"
 
 
 def raw_tokens(text: Column) -> Column:
     """Words and numbers in lower case, in order."""
-    return F.split(_plain(text), " ")
+    return F.split(_plain(_joined(text)), " ")
 
 
 def template_tokens(text: Column) -> Column:
     """As many tokens as ``raw_tokens``, with typed placeholders."""
-    named = _plain(F.regexp_replace(text, _NAMES, NAME))
+    named = _plain(F.regexp_replace(_joined(text), _NAMES, NAME))
     numbered = F.regexp_replace(named, r"(^| )\p{N}\S*", "$1" + NUMBER)
     return F.split(F.regexp_replace(numbered, f"{NUMBER} (?:{'|'.join(UNITS.split())})(?= |$)", f"{NUMBER} {UNIT}"), " ")
 
 
+def _joined(text: Column) -> Column:
+    # The sign itself is no part of a text's words.
+    return F.regexp_replace(F.regexp_replace(F.translate(text, JOINT, " "), _IN_NUMBER, JOINT), _IN_NAMES, JOINT)
+
+
 def _plain(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, _NOT_WORD, " ")))
 
@@ -69,9 +80,10 @@ def _is_slot(token: Column) -> Column:
     return token.isin(NAME, NUMBER, UNIT)
 
 
-def _windows(tokens: Column, stride: int) -> Column:
-    starts = F.sequence(F.lit(1), F.size(tokens) - (W - 1), F.lit(stride))
-    return F.when(F.size(tokens) >= W, F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i, W))))
+def _windows(tokens: Column, width: int) -> Column:
+    """A hash for every token: that of the window that starts there, null where it would end outside."""
+    whole = F.size(tokens) - (width - 1)
+    return F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.when(i <= whole, F.xxhash64(F.slice(tokens, i, width))))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -79,16 +91,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     items = benchmark.select(F.col(item_id).alias("item_id"), raw_tokens(text).alias("item_raw"), template_tokens(text).alias("item"))
-    items = items.filter(F.size("item") >= LEAST_TOKENS).withColumn("item_row", F.xxhash64("item_id", "item_raw")).distinct()
-    windows = items.select("item_row", "item", F.posexplode(_windows(F.col("item"), 1)).alias("at", "window"))
-    literal = F.size(F.filter(F.slice(F.col("item"), F.col("at") + 1, W), lambda t: ~_is_slot(t)))
-    windows = windows.filter(literal * 2 >= W).select("item_row", F.size("item").alias("n"), "at", "window").persist()
+    items = items.filter(F.get("item_raw", F.lit(0)) != "").withColumn("item_row", F.xxhash64("item_id", "item_raw")).distinct()
+    n = F.size("item")
+    short = sorted(r[0] for r in items.filter(n < W).select(n).distinct().collect())  # at most W - 1 numbers
+    placed = items.select("item_row", "item", "item_raw", n.alias("n"), F.explode(F.sequence(F.lit(0), F.greatest(n - W, F.lit(0)))).alias("at"))
+    template, raw = (F.slice(F.col(c), F.col("at") + 1, W) for c in ("item", "item_raw"))
+    telling = F.size(F.filter(template, lambda t: ~_is_slot(t))) * 2 >= F.size(template)
+    either = F.array_distinct(F.array(F.when(telling, F.xxhash64(template)), F.xxhash64(raw)))
+    windows = placed.select("item_row", "n", "at", F.explode(either).alias("window")).filter("window is not null").persist()
     if windows.count() <= BROADCAST_WINDOWS:
         windows = F.broadcast(windows)
 
-    tokens = rows.select("doc_id", "text_hash", template_tokens(F.col("text")).alias("doc"))
-    spread = tokens.select("doc_id", "text_hash", F.posexplode(_windows(F.col("doc"), STRIDE)).alias("nth", "window"))
-    hits = spread.join(windows, "window").select("doc_id", "text_hash", "item_row", "n", (F.col("nth") * STRIDE - F.col("at")).alias("shift"))
+    tokens = rows.select("doc_id", "text_hash", template_tokens(F.col("text")).alias("doc"), raw_tokens(F.col("text")).alias("doc_raw"))
+    spread = []
+    for width in [*short, W]:
+        t, r = _windows(F.col("doc"), width), _windows(F.col("doc_raw"), width)
+        both_kinds = F.concat(t, F.zip_with(t, r, lambda x, y: F.when(x != y, y)))
+        spread.append(both_kinds if width >= LEAST_INSIDE else F.when(F.size("doc") == width, both_kinds).otherwise(F.transform(both_kinds, lambda _: F.lit(None).cast("long"))))
+    # All lists are as long as the document, so the place in one follows from the place in all.
+    spread = tokens.select("doc_id", "text_hash", F.size("doc").alias("size"), F.posexplode(F.concat(*spread)).alias("nth", "window")).filter("window is not null")
+    hits = spread.join(windows, "window").select("doc_id", "text_hash", "item_row", "n", (F.col("nth") % F.col("size") - F.col("at")).alias("shift"))
     met = hits.groupBy("doc_id", "text_hash", "item_row").agg(F.collect_set("shift").alias("shifts"), F.first("n").alias("n"))
     wanted = met.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.collect_list(F.struct("item_row", "n", "shifts")).alias("met"))
 
@@ -123,7 +145,7 @@ def _aligned(seg: Column) -> Column:
     every = F.transform(i, place)
     likes, same = _runs(F.filter(every, lambda p: p["like"])), _runs(F.filter(every, lambda p: p["same"]))
     literal = F.coalesce(F.array_max(F.transform(same, F.size)), F.lit(0))
-    return F.struct(_agreeing(F.filter(likes, _consistent)).alias("places"), literal.alias("literal"))
+    return F.struct(_agreeing(F.filter(likes, _consistent), F.least(F.lit(W), F.size("item"))).alias("places"), literal.alias("literal"))
 
 
 def _runs(places: Column) -> Column:
@@ -142,15 +164,15 @@ def _consistent(places: Column) -> Column:
     return F.size(mapped) == F.size(F.array_distinct(F.transform(mapped, lambda x: x["of"])))
 
 
-def _agreeing(runs: Column) -> Column:
+def _agreeing(runs: Column, window: Column) -> Column:
     """The places of runs that each agree in themselves, without slots that contradict the runs of a window or more (or, outside of those, any run)."""
-    core = _slots(F.flatten(F.filter(runs, lambda r: F.size(r) >= W)))
+    core = _slots(F.flatten(F.filter(runs, lambda r: F.size(r) >= window)))
     every = _slots(F.flatten(runs))
 
     def stays(p: Column, among: Column) -> Column:
         return ~p["slot"] | ~F.exists(among, lambda x: (x["of"] == p["of"]) & (x["is"] != p["is"]))
 
-    kept = F.transform(runs, lambda r: F.when(F.size(r) >= W, F.filter(r, lambda p: stays(p, core))).otherwise(F.filter(r, lambda p: stays(p, every))))
+    kept = F.transform(runs, lambda r: F.when(F.size(r) >= window, F.filter(r, lambda p: stays(p, core))).otherwise(F.filter(r, lambda p: stays(p, every))))
     return F.flatten(kept)
 
 

@@ -317,6 +317,23 @@ def test_a_contradiction_leaves_verbatim_runs(documents, spark):
     assert set(got) == {1, 2} and got[2]["verbatim"] is True and got[1]["longest_run"] >= 13
 
 
+def test_short_dense_and_folded_items(documents, spark):
+    known = [
+        (1, "Name the largest planet"),
+        (2, "12 + 34 + 56 + 78 - 90 - 11 + 42 + 17"),
+        (3, "Then pay 62.5 to Mary Ann or 1,200 to Tom by noon today"),
+        (4, "Why not"),
+        (5, "zorp blik frum dast gelp mirn ofta quun stel vack"),
+    ]
+    rows = [
+        (1, "Some text. Name the largest planet. More text here"), (2, "so, 12 + 34 + 56 + 78 - 90 - 11 + 42 + 17 is what"),
+        (3, "Then pay 7 to Tom or 30 to Ida May Bell by noon today"), (4, "Why not"), (5, "they ask why not and go"), (6, "so, 1 + 2 + 3 + 4 - 5 - 6 + 7 + 8"),
+        *((10 + k, "pad " * k + "zorp blik frum dast gelp mirn") for k in range(3)),
+    ]
+    got = {(r["doc_id"], r["item_id"]) for r in rows_of(decontaminate.leaks(documents(rows), spark.createDataFrame(known, "item_id long, text string")))}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (10, 5), (11, 5), (12, 5)}
+
+
 def test_templates_keep_the_token_count(docs):
     wrong = docs.select(F.size(decontaminate.raw_tokens(F.coalesce("text", F.lit("")))).alias("a"), F.size(decontaminate.template_tokens(F.coalesce("text", F.lit("")))).alias("b")).filter("a <> b")
     assert wrong.count() == 0
