@@ -17,8 +17,10 @@ So a question asked again with other numbers, names or units has the same templa
 4. Slot consistency, for evidence by placeholders: within a run of consecutive places
    every item value must stand for one document value, or the run is dropped; of the
    other runs only the slots that contradict a run of a window or more are ignored.
-5. A document is reported for an item if the tokens found are at least half of the
-   item's, or 13 tokens in a row.
+5. The runs of all alignments of an item are joined into chains: in the order of the
+   item, each no further behind the one before than the item is long.  A document is
+   reported for an item if a chain holds at least half of the item's tokens, or 13 in
+   a row.
 
 The item windows are broadcast only up to ``BROADCAST_WINDOWS`` of them (counted
 first); beyond, the same join is shuffled.
@@ -176,15 +178,37 @@ def _agreeing(runs: Column, window: Column) -> Column:
     return F.flatten(kept)
 
 
+def _chained(runs: Column, near: Column) -> Column:
+    """struct(open, placed, longest): the most places of a chain of runs, and of its runs that follow each other in the item.
+
+    ``runs`` come in the order of the document, so ends further back than ``near`` are not kept open.
+    """
+    end = "array<struct<i:int,j:int,placed:int,longest:int>>"
+
+    def most(ends: Column, name: str) -> Column:
+        return F.coalesce(F.array_max(F.transform(ends, lambda o: o[name])), F.lit(0))
+
+    def step(done: Column, run: Column) -> Column:
+        open_ends = F.filter(done["open"], lambda o: o["j"] + near >= run["j"])
+        before = F.filter(open_ends, lambda o: (o["i"] < run["i"]) & (o["j"] < run["j"]))
+        placed = run["n"] + most(before, "placed")
+        longest = run["n"] + most(F.filter(before, lambda o: o["i"] + 1 == run["i"]), "longest")
+        last = F.struct((run["i"] + run["n"] - 1).alias("i"), (run["j"] + run["n"] - 1).alias("j"), placed.alias("placed"), longest.alias("longest"))
+        return F.struct(F.concat(open_ends, F.array(last)).alias("open"), F.greatest(done["placed"], placed).alias("placed"), F.greatest(done["longest"], longest).alias("longest"))
+
+    start = F.struct(F.array().cast(end).alias("open"), F.lit(0).alias("placed"), F.lit(0).alias("longest"))
+    return F.aggregate(runs, start, step)
+
+
 def _measured(held: DataFrame) -> DataFrame:
     """One row for each pair of a document row and an item, with its evidence."""
     every = F.flatten(F.transform("along", lambda a: a["places"]))
-    places = F.array_sort(F.array_distinct(F.transform(every, lambda p: p["i"])))
     literal = F.array_max(F.transform("along", lambda a: a["literal"]))
-    got = held.select("doc_id", "text_hash", "item_id", "item_tokens", literal.alias("literal"), _slots(every).alias("mapped"), F.explode(F.array(places)).alias("places"))
-    runs = F.transform("places", lambda x, k: x - k)
-    longest = F.coalesce(F.array_max(F.transform(F.array_distinct(runs), lambda v: F.size(F.filter(runs, lambda x: x == v)))), F.lit(0))
-    got = got.withColumn("placed", F.size("places")).withColumn("longest", longest)
+    cut = F.flatten(F.transform("along", lambda a: _runs(a["places"])))
+    runs = F.array_sort(F.transform(cut, lambda r: F.struct(r[0]["j"].alias("j"), r[0]["i"].alias("i"), F.size(r).alias("n"))))
+    got = held.select("doc_id", "text_hash", "item_id", "item_tokens", literal.alias("literal"), _slots(every).alias("mapped"), F.explode(F.array(runs)).alias("runs"))
+    chain = _chained(F.col("runs"), F.col("item_tokens"))
+    got = got.select("doc_id", "text_hash", "item_id", "item_tokens", "literal", "mapped", F.explode(F.array(chain)).alias("chain")).withColumns({"placed": F.col("chain.placed"), "longest": F.col("chain.longest")})
     matched = F.greatest("placed", "literal")
     return got.select(
         "doc_id", "text_hash", "item_id", matched.alias("matched"), "item_tokens", (matched / F.col("item_tokens")).alias("coverage"), F.greatest("longest", "literal").alias("longest_run"),

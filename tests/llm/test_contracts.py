@@ -334,6 +334,16 @@ def test_short_dense_and_folded_items(documents, spark):
     assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (10, 5), (11, 5), (12, 5)}
 
 
+def test_far_fragments_are_no_leak(documents, spark):
+    item = "zorp blik frum dast gelp mirn ofta quun stel vack wirp yold jask krem plon trub nelt hoff"
+    w = item.split()
+    a, b, c = (" ".join(w[k : k + 6]) for k in (0, 6, 12))
+    far = " other words that say nothing" * 200 + " "
+    rows = [(1, a + far + b + far + c), (2, b + " and " + a), (3, f"{a} indeed {b} and well {c}"), (4, a + " some more words " + b), (5, a + far + f"{a} or {b}")]
+    got = {r["doc_id"]: r for r in rows_of(decontaminate.leaks(documents(rows), spark.createDataFrame([(1, item)], "item_id long, text string")))}
+    assert {k: r["matched"] for k, r in got.items()} == {3: 18, 4: 12, 5: 12} and got[3]["coverage"] == 1.0
+
+
 def test_templates_keep_the_token_count(docs):
     wrong = docs.select(F.size(decontaminate.raw_tokens(F.coalesce("text", F.lit("")))).alias("a"), F.size(decontaminate.template_tokens(F.coalesce("text", F.lit("")))).alias("b")).filter("a <> b")
     assert wrong.count() == 0
