@@ -31,15 +31,20 @@ def deduplicated(events: DataFrame, key: str) -> DataFrame:
 
 
 def drain(result: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there, then stop; its table as a batch DataFrame."""
+    """Run a stream over all that is there, then stop; its table as a batch DataFrame.
+
+    The rows go from the executors to Parquet in the shared folder.  A complete result
+    replaces that of the trigger before; the other modes add to it.
+    """
     spark = result.sparkSession
     import uuid
 
     place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    writer = result.writeStream.outputMode(mode).queryName(name).option("checkpointLocation", f"{place}/state").trigger(availableNow=True)
     if mode == "complete":
-        query = result.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
-        query.awaitTermination()
-        return spark.table(name)
-    query = result.writeStream.outputMode(mode).format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+        spark.createDataFrame([], result.schema).write.parquet(f"{place}/out")  # stays if there is no trigger
+        writer = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{place}/out"))
+    else:
+        writer = writer.format("parquet").option("path", f"{place}/out")
+    writer.start().awaitTermination()
     return spark.read.schema(result.schema).parquet(f"{place}/out")

@@ -12,6 +12,7 @@ from loomwork.operators import cleaning, closure, compare, geo, graph, joins, pr
 from loomwork.plans import builder, macros
 from loomwork.plans.notebook import Notebook, lineage, read_only_tables
 from loomwork.sources import readers, sinks
+from loomwork.streaming import events as streams
 
 
 def edges(spark, pairs):
@@ -367,3 +368,13 @@ def test_cells(spark, tmp_path):
     (tmp_path / "g.txt").write_text("y")
     two = cells.source_fingerprint(spark, str(tmp_path))
     assert cells.changed({"s": one}, {"s": two, "t": one}) == {"stale": ["s"], "new": ["t"], "gone": []}
+
+
+def test_complete_streams_stay_off_the_driver(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 01:00:00"), (1, "2024-01-02 00:00:00"), (2, "2024-01-01 00:00:00")], "user_id long, ts string")
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows.write.parquet(f"{tmp_path}/in")
+    events = streams.read_events(spark, f"{tmp_path}/in", rows.schema)
+    got = streams.drain(streams.sessions(events, "ts", "6 hours", "user_id"), "sessions_off_driver")
+    assert sorted((r.user_id, r.n) for r in got.collect()) == [(1, 1), (1, 2), (2, 1)]
+    assert got.inputFiles() and not spark.catalog.tableExists("sessions_off_driver")
