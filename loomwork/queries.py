@@ -611,7 +611,7 @@ def pca_2d(spark, sf_dir):
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier to supplier, linked by an order that both delivered a fifth part or more of."""
+    """Supplier to supplier, linked by an order of which both have a line of 48 units or more."""
     lines = table(spark, sf_dir, "lineitem").filter("l_quantity >= 48").select("l_orderkey", "l_suppkey")
     return lines.withColumnRenamed("l_suppkey", "src").join(lines.withColumnRenamed("l_suppkey", "dst"), "l_orderkey").filter("src < dst").select("src", "dst")
 
@@ -649,9 +649,7 @@ def graph_pagerank(spark, sf_dir):
 
 @query()
 def graph_betweenness(spark, sf_dir):
-    edges = _edges(spark, sf_dir)
-    some = edges.select(F.col("src").alias("node")).distinct().orderBy(F.xxhash64("node")).limit(16)  # stated sources, spread by hash
-    return graph.betweenness(edges, some)
+    return graph.betweenness(_edges(spark, sf_dir))
 
 
 @query()

@@ -1,13 +1,14 @@
 """Closed-form facts and edge cases of the operators."""
 
 import math
+from collections import defaultdict
 
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomwork import catalog
+from loomwork import catalog, queries
 from loomwork.operators import cleaning, closure, compare, geo, graph, joins, privacy, quality, reports, resolve, selections, shape, stats, taxonomy, vectors
 from loomwork.plans import builder, macros
 from loomwork.plans.notebook import Notebook, lineage, read_only_tables
@@ -378,3 +379,32 @@ def test_complete_streams_stay_off_the_driver(spark, tmp_path):
     got = streams.drain(streams.sessions(events, "ts", "6 hours", "user_id"), "sessions_off_driver")
     assert sorted((r.user_id, r.n) for r in got.collect()) == [(1, 1), (1, 2), (2, 1)]
     assert got.inputFiles() and not spark.catalog.tableExists("sessions_off_driver")
+
+
+def test_betweenness_query_takes_all_nodes(spark):
+    sf = "/root/testdata/sf0.01"
+    pairs = {(r.src, r.dst) for r in queries._edges(spark, sf).collect()}
+    near = defaultdict(set)
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    want = dict.fromkeys(near, 0.0)
+    for s in near:
+        depth, paths, order = {s: 0}, defaultdict(int, {s: 1}), [s]
+        for v in order:
+            for w in near[v]:
+                if w not in depth:
+                    depth[w] = depth[v] + 1
+                    order.append(w)
+                if depth[w] == depth[v] + 1:
+                    paths[w] += paths[v]
+        gained = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in near[w]:
+                if depth[v] == depth[w] - 1:
+                    gained[v] += paths[v] / paths[w] * (1 + gained[w])
+            if w != s:
+                want[w] += gained[w]
+    n = len(near)
+    got = as_dict(queries.QUERIES["graph_betweenness"](spark, sf), "node", "betweenness")
+    assert n > 16 and got.keys() == want.keys() and all(math.isclose(got[k], want[k] / ((n - 1) * (n - 2)), abs_tol=1e-9) for k in want)
