@@ -23,7 +23,10 @@ So a question asked again with other numbers, names or units has the same templa
    a row.
 
 The item windows are broadcast only up to ``BROADCAST_WINDOWS`` of them (counted
-first); beyond, the same join is shuffled.
+first); beyond, the same join is shuffled.  Only the texts of documents with a hit are
+read again; they are found at the scan by the hits' names up to ``BROADCAST_HITS`` of
+them (counted), beyond by a shuffled join.  Their tokens are written once (staged), so
+that nothing above them splits a text again.
 
 Defined cases: null and empty texts match nothing; a repeated document row is reported once for each row; equal items are items
 of their own; null ids are kept; empty tables give no rows; extra columns are ignored.
@@ -34,11 +37,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.staging import stage
+
 W = 6
 #: Items of fewer tokens are phrases of any text.
 LEAST_INSIDE = 3
 MIN_COVERAGE, MIN_RUN = 0.5, 13
 BROADCAST_WINDOWS = 500_000
+BROADCAST_HITS = 500_000
 
 # Private-use signs stand for the placeholders, so that no text's own word is one.
 NAME, NUMBER, UNIT = "", "", ""
@@ -57,21 +63,33 @@ _IN_NUMBER = r"(?<=\p{N})[.,:'](?=\p{N})"
 _IN_NAMES = r" (?=\p{Lu}\p{Ll}+(?![\p{L}\p{N}]))(?<=[\p{Ll}\p{N},;] \p{Lu}\p{Ll}{1,40} )"
 
 
+def tagged_tokens(text: Column) -> Column:
+    """Words and numbers in lower case, in order; a placeholder's sign stands before the token that it may stand for."""
+    named = _plain(F.regexp_replace(_joined(text), _NAMES, NAME + "$0"))
+    numbered = F.regexp_replace(named, r"(?<![^ ])(?=\p{N})", NUMBER)
+    return F.split(F.regexp_replace(numbered, f"({NUMBER}\\S* )(?=(?:{'|'.join(UNITS.split())})(?: |$))", "$1" + UNIT), " ")
+
+
+def raw_of(token: Column) -> Column:
+    return F.ltrim(token, F.lit(NAME + NUMBER + UNIT))
+
+
+def template_of(token: Column) -> Column:
+    return F.when((token >= NAME) & (token < JOINT), F.substring(token, 1, 1)).otherwise(token)
+
+
 def raw_tokens(text: Column) -> Column:
-    """Words and numbers in lower case, in order."""
-    return F.split(_plain(_joined(text)), " ")
+    return F.transform(tagged_tokens(text), raw_of)
 
 
 def template_tokens(text: Column) -> Column:
     """As many tokens as ``raw_tokens``, with typed placeholders."""
-    named = _plain(F.regexp_replace(_joined(text), _NAMES, NAME))
-    numbered = F.regexp_replace(named, r"(^| )\p{N}\S*", "$1" + NUMBER)
-    return F.split(F.regexp_replace(numbered, f"{NUMBER} (?:{'|'.join(UNITS.split())})(?= |$)", f"{NUMBER} {UNIT}"), " ")
+    return F.transform(tagged_tokens(text), template_of)
 
 
 def _joined(text: Column) -> Column:
-    # The sign itself is no part of a text's words.
-    return F.regexp_replace(F.regexp_replace(F.translate(text, JOINT, " "), _IN_NUMBER, JOINT), _IN_NAMES, JOINT)
+    # The signs themselves are no part of a text's words.
+    return F.regexp_replace(F.regexp_replace(F.translate(text, NAME + NUMBER + UNIT + JOINT, "    "), _IN_NUMBER, JOINT), _IN_NAMES, JOINT)
 
 
 def _plain(text: Column) -> Column:
@@ -82,43 +100,60 @@ def _is_slot(token: Column) -> Column:
     return token.isin(NAME, NUMBER, UNIT)
 
 
-def _windows(tokens: Column, width: int) -> Column:
-    """A hash for every token: that of the window that starts there, null where it would end outside."""
-    whole = F.size(tokens) - (width - 1)
-    return F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.when(i <= whole, F.xxhash64(F.slice(tokens, i, width))))
+def _windows(rows: DataFrame, widths: list[int]) -> DataFrame:
+    """doc_id, text_hash, at, window: the hashes of all windows of the texts, as templates and, where they differ, raw.
+
+    Lists of single token hashes are shifted against each other and exploded together, so
+    that windows are hashed by compiled code, row by row.
+    """
+    tagged = rows.select("doc_id", "text_hash", tagged_tokens(F.col("text")).alias("tokens"))
+    hashed = tagged.select("doc_id", "text_hash", F.transform("tokens", lambda t: F.xxhash64(template_of(t))).alias("t"), F.transform("tokens", lambda t: F.xxhash64(raw_of(t))).alias("r"))
+    padding = F.array_repeat(F.lit(None).cast("long"), W - 1)
+    padded = hashed.select("doc_id", "text_hash", F.size("t").alias("size"), F.concat("t", padding).alias("t"), F.concat("r", padding).alias("r"))
+    shifted = F.arrays_zip(*[F.slice(c, k + 1, F.col("size")).alias(f"{c}{k}") for c in "tr" for k in range(W)])
+    places = padded.select("doc_id", "text_hash", "size", F.posexplode(shifted).alias("at", "w")).select("doc_id", "text_hash", "size", "at", "w.*")
+    names = []
+    for width in widths:
+        inside = F.col(f"t{width - 1}").isNotNull() & (F.lit(width >= LEAST_INSIDE) | (F.col("size") == width))
+        template, raw = (F.xxhash64(*[f"{c}{k}" for k in range(width)]) for c in "tr")
+        names += [F.when(inside, template), F.when(inside & (template != raw), raw)]
+    return places.select("doc_id", "text_hash", "at", F.explode(F.array(*names)).alias("window")).filter("window is not null")
+
+
+def _named(window: Column) -> Column:
+    """The hash of a list of 1 to W tokens, as ``_windows`` has it."""
+    of = lambda width: F.xxhash64(*[F.xxhash64(F.get(window, F.lit(k))) for k in range(width)])
+    return F.coalesce(*[F.when(F.size(window) == width, of(width)) for width in range(W, 0, -1)])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, item_id, matched, item_tokens, coverage, longest_run, slots, verbatim of every leak."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    items = benchmark.select(F.col(item_id).alias("item_id"), raw_tokens(text).alias("item_raw"), template_tokens(text).alias("item"))
-    items = items.filter(F.get("item_raw", F.lit(0)) != "").withColumn("item_row", F.xxhash64("item_id", "item_raw")).distinct()
+    items = benchmark.select(F.col(item_id).alias("item_id"), tagged_tokens(text).alias("tokens"))
+    items = items.select("item_id", F.transform("tokens", raw_of).alias("item_raw"), F.transform("tokens", template_of).alias("item"))
+    items = stage(items.filter(F.get("item_raw", F.lit(0)) != "").withColumn("item_row", F.xxhash64("item_id", "item_raw")).distinct(), "items")
     n = F.size("item")
     short = sorted(r[0] for r in items.filter(n < W).select(n).distinct().collect())  # at most W - 1 numbers
     placed = items.select("item_row", "item", "item_raw", n.alias("n"), F.explode(F.sequence(F.lit(0), F.greatest(n - W, F.lit(0)))).alias("at"))
     template, raw = (F.slice(F.col(c), F.col("at") + 1, W) for c in ("item", "item_raw"))
     telling = F.size(F.filter(template, lambda t: ~_is_slot(t))) * 2 >= F.size(template)
-    either = F.array_distinct(F.array(F.when(telling, F.xxhash64(template)), F.xxhash64(raw)))
-    windows = placed.select("item_row", "n", "at", F.explode(either).alias("window")).filter("window is not null").persist()
+    either = F.array_distinct(F.array(F.when(telling, _named(template)), _named(raw)))
+    windows = stage(placed.select("item_row", "n", F.col("at").alias("item_at"), F.explode(either).alias("window")).filter("window is not null"), "windows")
     if windows.count() <= BROADCAST_WINDOWS:
         windows = F.broadcast(windows)
 
-    tokens = rows.select("doc_id", "text_hash", template_tokens(F.col("text")).alias("doc"), raw_tokens(F.col("text")).alias("doc_raw"))
-    spread = []
-    for width in [*short, W]:
-        t, r = _windows(F.col("doc"), width), _windows(F.col("doc_raw"), width)
-        both_kinds = F.concat(t, F.zip_with(t, r, lambda x, y: F.when(x != y, y)))
-        spread.append(both_kinds if width >= LEAST_INSIDE else F.when(F.size("doc") == width, both_kinds).otherwise(F.transform(both_kinds, lambda _: F.lit(None).cast("long"))))
-    # All lists are as long as the document, so the place in one follows from the place in all.
-    spread = tokens.select("doc_id", "text_hash", F.size("doc").alias("size"), F.posexplode(F.concat(*spread)).alias("nth", "window")).filter("window is not null")
-    hits = spread.join(windows, "window").select("doc_id", "text_hash", "item_row", "n", (F.col("nth") % F.col("size") - F.col("at")).alias("shift"))
+    hits = _windows(rows, [*short, W]).join(windows, "window").select("doc_id", "text_hash", "item_row", "n", (F.col("at") - F.col("item_at")).alias("shift"))
     met = hits.groupBy("doc_id", "text_hash", "item_row").agg(F.collect_set("shift").alias("shifts"), F.first("n").alias("n"))
-    wanted = met.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.collect_list(F.struct("item_row", "n", "shifts")).alias("met"))
+    wanted = stage(met.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.collect_list(F.struct("item_row", "n", "shifts")).alias("met")), "hits")
 
     # A document is split into tokens once; of its tokens only the stretches that lie along an item go on.
-    both = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["id"]) & (rows["text_hash"] == wanted["hash"]))
-    both = both.select("doc_id", "text_hash", "met", template_tokens(F.col("text")).alias("doc"), raw_tokens(F.col("text")).alias("doc_raw"))
+    same = rows["doc_id"].eqNullSafe(wanted["id"]) & (rows["text_hash"] == wanted["hash"])
+    texts = rows
+    if wanted.count() <= BROADCAST_HITS:
+        texts = rows.join(F.broadcast(wanted.select("id", "hash")), same, "left_semi")
+    both = texts.join(wanted, same).select("doc_id", "text_hash", "met", tagged_tokens(F.col("text")).alias("tokens"))
+    both = stage(both.select("doc_id", "text_hash", "met", F.transform("tokens", template_of).alias("doc"), F.transform("tokens", raw_of).alias("doc_raw")), "hit-tokens")
 
     def stretch(shift: Column, n: Column) -> Column:
         at = F.greatest(shift, F.lit(0))
