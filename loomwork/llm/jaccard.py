@@ -5,22 +5,31 @@ sets x, y with Jaccard similarity t or more share at least
 a = ceil(t/(1+t) * (|x|+|y|)) elements, so under any global order of the shingles
 they share one among their first |x|-ceil(t|x|)+1.
 
-Order 1 puts shingles that are common over the whole corpus last (document
-frequencies are counted over all documents in a fixed-size table of counters and
-only their magnitude is used), then sorts by hash; its prefixes are joined.  Order 2
-sorts the prefixes by the exact frequency that this join finds, rarest first: a pair
-must meet while both still have as many prefix elements left as the threshold needs,
-which parts documents that only have a passage in common.  The pairs' common prefix
-elements are then counted, and pairs must share a prefix element under orders 3 and
-4, which sort by other hashes; only pairs that pass every filter are verified on the
-whole sets.
+Six global orders filter, all on narrow rows before any text moves.
+
+* Order 1 puts shingles that are common over the whole corpus last (document
+  frequencies are counted over all documents in a fixed-size table of counters and
+  only their magnitude is used), then sorts by hash; its prefixes are joined.
+* Order 2 sorts the prefixes by the exact frequency that this join finds, rarest
+  first: a pair must meet while both still have as many prefix elements left as the
+  threshold needs, which parts documents that only have a passage in common.
+* Orders 3 to 6 each put another quarter of all shingles (by hash) first.  A set's
+  prefix under such an order is its part of that quarter, kept as a bitmap of 512
+  bits.  A bit that only one side has is an element that the other lacks; the four
+  prefixes are disjoint, so their misses add up, and a pair that misses more than
+  |x|-a over the four together is no candidate.  That is the four filters intersected,
+  and sharper than each alone.
+
+Only pairs that pass every order are verified on the whole sets.
 
 No group is expanded to all its pairs.  Equal sets are one node.  Every node is
 first tested against the group's smallest node that it meets most often; then, for
-every two components that meet in groups, one such pair, until no link is found.  What then still lies in another
-component than the group's largest one is tested against all of the group outside
-its own component.  So every pair that could connect two components is tested,
-and none is skipped.
+every two components that meet in groups, one such pair, until no link is found; a
+group that lies in one component leaves the work for good.  What then still lies in
+another component than the group's largest one is a set of queries against all of the
+group outside its own component: in cells of at most ``BLOCK`` queries and members,
+under the orders above, so that only pairs that pass them all become rows.  So every
+pair that could connect two components is tested, and none is skipped.
 
 Defined cases: null and word-less texts have the empty set and are linked with
 nothing; fewer words than n make one shingle of the whole sequence; repeated rows
@@ -49,9 +58,14 @@ common.by_value(__name__)
 COUNTERS, CELLS = 1 << 18, 1 << 12
 #: Up to so many ids (8 bytes each) go to all tasks to filter the texts where they are read.
 BROADCAST_IDS = 1_000_000
+#: Queries and members of a cell of the last step.
+BLOCK = 4096
+#: Pairs of a cell that are looked at together.
+PAIRS = 1 << 17
+#: Bits of the four prefix bitmaps together.
+BITS = 2048
 #: Share of the ranks of level 0 that every prefix holds.
 SHARE = np.uint64(int(0.3 * (1 << 58)))
-_SEEDS = (np.uint64(0), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int) -> list[np.ndarray]:
@@ -82,15 +96,28 @@ def set_hash(items: np.ndarray) -> int:
     return int(total.astype(np.int64))
 
 
-def rank_of(items: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
-    """Ranks of a global order: by level of corpus frequency, then by a hash of that order's own."""
-    mixed = items if order == 0 else common.mix(items ^ _SEEDS[order])
-    return (level[(items >> np.uint64(46)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (mixed >> np.uint64(6))
+def rank_of(items: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Ranks of order 1: by level of corpus frequency, then by hash."""
+    return (level[(items >> np.uint64(46)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (items >> np.uint64(6))
 
 
-def ordered(items: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
-    """The (sorted) elements in a global order; equal ranks by value."""
-    return items[np.argsort(rank_of(items, level, order), kind="stable")]
+def ordered(items: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The (sorted) elements in order 1; equal ranks by value."""
+    return items[np.argsort(rank_of(items, level), kind="stable")]
+
+
+def bitmap(items: np.ndarray) -> bytes:
+    """The prefixes of orders 3 to 6 as bits: the upper two of the place name the order."""
+    bits = np.zeros(BITS, dtype=bool)
+    bits[(items & np.uint64(BITS - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def may_link(n_a: np.ndarray, n_b: np.ndarray, bits_a: np.ndarray, bits_b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Orders 3 to 6 for pairs: sizes, and bitmaps as rows of 64-bit words; False where no link is possible."""
+    overlap = -(-num * (n_a + n_b) // (num + den))
+    missed = lambda x, y: np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
+    return (missed(bits_a, bits_b) <= n_a - overlap) & (missed(bits_b, bits_a) <= n_b - overlap)
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -105,25 +132,27 @@ def _sets_of(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _survey(rows: DataFrame, n: int) -> DataFrame:
-    """kind 0: a row for each document (doc_id, node, size); kind 1: this task's document frequencies in blocks."""
+    """Without a block: a row for each document (doc_id, node, size, bitmaps); with one: this task's document frequencies in it."""
+    names = ["doc_id", "text_hash", "node", "n_shingles", "bits", "block", "counts"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
-            nodes, sizes = [], []
+            nodes, sizes, bits = [], [], []
             for _, items in _sets_of(batch, n):
                 nodes.append(set_hash(items) if len(items) else None)
+                bits.append(bitmap(items) if len(items) else None)
                 sizes.append(len(items))
                 counts += np.bincount((items >> np.uint64(46)).astype(np.int64), minlength=COUNTERS) if len(items) > COUNTERS else 0
                 if len(items) <= COUNTERS:
                     np.add.at(counts, (items >> np.uint64(46)).astype(np.int64), 1)
             k = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=["doc_id", "text_hash", "node", "n_shingles", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         for block in np.flatnonzero(counts.reshape(-1, CELLS).any(1)).tolist():
             part = counts[block * CELLS : (block + 1) * CELLS].astype("<u4").tobytes()
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([block], pa.int32()), pa.array([part], pa.binary())], names=["doc_id", "text_hash", "node", "n_shingles", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.nulls(1, pa.binary()), pa.array([block], pa.int32()), pa.array([part], pa.binary())], names=names)
 
-    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, node bigint, n_shingles bigint, block int, counts binary")
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, node bigint, n_shingles bigint, bits binary, block int, counts binary")
 
 
 def _levels(survey: DataFrame) -> np.ndarray:
@@ -164,10 +193,10 @@ def _prefixes(rows: DataFrame, level: np.ndarray, n: int, num: int, den: int) ->
                 if not len(items) or (node := set_hash(items)) in seen:
                     continue
                 seen.add(node)
-                order = ordered(items, table.value, 0)
-                least, wide = prefix_length(len(items), num, den), int((rank_of(order, table.value, 0) < SHARE).sum())
+                order = ordered(items, table.value)
+                least, wide = prefix_length(len(items), num, den), int((rank_of(order, table.value) < SHARE).sum())
                 size = max(least, wide)
-                cut = 0 if wide >= least else int(rank_of(order[size - 1 : size], table.value, 0)[0] >> np.uint64(1))
+                cut = 0 if wide >= least else int(rank_of(order[size - 1 : size], table.value)[0] >> np.uint64(1))
                 parts.append((order[:size].view(np.int64), node, len(items), size, cut))
                 held += size
                 if held > 200_000:
@@ -202,42 +231,47 @@ def _may_link(x: str, y: str, num: int, den: int):
     return alike & (F.least(c("p", x) - c("q", x), c("p", y) - c("q", y)) >= _needed(x, y, num, den))
 
 
-def _enough_shared(pairs: DataFrame, elements: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose prefixes share as many elements as the threshold needs, counted by joins."""
-    g = elements.select("node", "token", "n", "p", "cut")
-    left, right = (g.withColumnsRenamed({"node": x, "n": f"n_{x}", "p": f"p_{x}", "cut": f"cut_{x}"}) for x in "ab")
-    shared = pairs.join(left, "a").join(right, ["b", "token"])
-    counted = shared.groupBy("a", "b").agg(F.count("*").alias("k"), *[F.max(f"{c}_{x}").alias(f"{c}_{x}") for c in ("n", "p", "cut") for x in "ab"])
-    return counted.filter(F.col("k") >= _needed("_a", "_b", num, den)).select("a", "b")
+def _candidates(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that pass orders 3 to 6, with the row that stands for each node."""
+    side = lambda x: nodes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "bits", "id", "hash")])
+    both = pairs.join(side("a").withColumnRenamed("node_a", "a"), "a").join(side("b").withColumnRenamed("node_b", "b"), "b")
+    out = ["a", "b", "id_a", "hash_a", "id_b", "hash_b"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = (batch.column(f"n_{x}").to_numpy() for x in "ab")
+            bits_a, bits_b = (_words(batch.column(f"bits_{x}")) for x in "ab")
+            stays = may_link(n_a, n_b, bits_a, bits_b, num, den)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(stays)) for c in out], names=out)
 
+    return both.select(*out, "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, ", ".join(f"{c} bigint" for c in out))
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
 
-def _verified(pairs: DataFrame, elements: DataFrame, rows: DataFrame, survey: DataFrame, level: np.ndarray, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets pass orders 3 and 4 and then the exact test."""
-    table = rows.sparkSession.sparkContext.broadcast(level)
-    of = survey.filter("node is not null").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("id"))
-    texts = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "text")
-    pairs = _enough_shared(pairs, elements, num, den)
-    named = stage(pairs.join(of.select(F.col("node").alias("a"), F.col("id").alias("ida")), "a").join(of.select(F.col("node").alias("b"), F.col("id").alias("idb")), "b"), "named")
-    needed = stage(named.select(F.explode(F.array("ida", "idb")).alias("id")).distinct(), "needed")
-    if needed.count() <= BROADCAST_IDS:  # counted: a filter at the scan; beyond, the join below alone
-        texts = texts.join(F.broadcast(needed), "id", "left_semi")
-    both = named.join(texts.select(F.col("id").alias("ida"), F.col("text").alias("ta")), "ida").join(texts.select(F.col("id").alias("idb"), F.col("text").alias("tb")), "idb")
-    both = both.select("a", "b", "ta", "tb")
+
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of nodes that pass orders 3 to 6 and then the exact test on the whole sets."""
+    named = stage(_candidates(pairs, nodes, num, den), "candidates")
+    needed = named.select(F.col("id_a").alias("id"), F.col("hash_a").alias("hash")).union(named.select("id_b", "hash_b")).distinct()
+    needed = stage(needed, "needed")
+    same = rows["doc_id"].eqNullSafe(needed["id"]) & (rows["text_hash"] == needed["hash"])
+    # Counted: a filter at the scan; beyond, a shuffled join.
+    texts = rows.join(F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed, same, "left_semi").select("text_hash", "text")
+    texts = texts.dropDuplicates(["text_hash"])  # repeated rows
+    both = named.select("a", "b", "hash_a", "hash_b").join(texts.select(F.col("text_hash").alias("hash_a"), F.col("text").alias("ta")), "hash_a")
+    both = both.join(texts.select(F.col("text_hash").alias("hash_b"), F.col("text").alias("tb")), "hash_b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, tuple] = {}
-        level = table.value
+        kept: dict[int, np.ndarray] = {}
 
-        def of(node: int, text: str) -> tuple | None:
+        def of(node: int, text: str) -> np.ndarray:
             if node not in kept:
                 raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-                items = shingle_sets(raw, np.array([0, len(raw)]), n)[0]
-                if not len(items) or set_hash(items) != node:
-                    return None  # another row with the same id
-                size = prefix_length(len(items), num, den)
                 if len(kept) >= 64:
                     kept.pop(next(iter(kept)))
-                kept[node] = (items, *(np.sort(ordered(items, level, k)[:size]) for k in (1, 2)))
+                kept[node] = shingle_sets(raw, np.array([0, len(raw)]), n)[0]
             return kept[node]
 
         for batch in batches:
@@ -246,23 +280,97 @@ def _verified(pairs: DataFrame, elements: DataFrame, rows: DataFrame, survey: Da
             with np.errstate(over="ignore"):
                 for i in range(batch.num_rows):
                     x, y = of(a[i].as_py(), ta[i].as_py()), of(b[i].as_py(), tb[i].as_py())
-                    if x is None or y is None or not all(len(np.intersect1d(x[k], y[k], assume_unique=True)) for k in (1, 2)):
-                        continue
-                    shared = len(np.intersect1d(x[0], y[0], assume_unique=True))
-                    if den * shared >= num * (len(x[0]) + len(y[0]) - shared):
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    if den * shared >= num * (len(x) + len(y) - shared):
                         links.append((a[i].as_py(), b[i].as_py()))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+_GROUP = ["token", "node", "n", "p", "cut", "q", *(f"{c}_lead" for c in ("n", "p", "cut", "q")), "lead"]
+
+
 def _split_groups(grouped: DataFrame, parts: DataFrame) -> DataFrame:
-    """The groups that hold more than one component, each row with its own, the first node's and the largest one."""
+    """The groups that hold more than one component, each row with its own, the first node's and the largest one; and how many rows stand in and out of that."""
     named = parts.select(F.col("node").alias("x"), F.col("component"))
-    held = grouped.join(named, F.col("node") == F.col("x"), "left").select(*grouped.columns, F.coalesce("component", "node").alias("part"))
+    held = grouped.select(*_GROUP).join(named, F.col("node") == F.col("x"), "left").select(*_GROUP, F.coalesce("component", "node").alias("part"))
     sizes = held.groupBy("token", "part").agg(F.count("*").alias("k"), F.max(F.when(F.col("node") == F.col("lead"), F.col("part"))).alias("own"))
-    split = sizes.groupBy("token").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.max("own").alias("lead_part"), F.count("*").alias("parts"))
-    return stage(held.join(split.filter("parts > 1").drop("parts"), "token"), "split")
+    split = sizes.groupBy("token").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.max("own").alias("lead_part"), F.count("*").alias("parts"), F.sum("k").alias("members"), F.max("k").alias("most"))
+    split = split.filter("parts > 1").select("token", "main", "lead_part", "members", (F.col("members") - F.col("most")).alias("queries"))
+    return stage(held.join(split, "token"), "split")
+
+
+def _open_pairs(held: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of different components that pass all orders: the rows outside a group's largest component against its other rows, in cells."""
+    rows = held.select("token", "node", *[F.col(c).cast("long").alias(c) for c in ("n", "p", "cut", "q")], "part", (F.col("part") == F.col("main")).alias("main"), "members", "queries")
+    rows = rows.join(nodes.select("node", "bits"), "node")
+    across, down = F.ceil(F.col("members") / BLOCK).cast("int"), F.ceil(F.col("queries") / BLOCK).cast("int")
+    own = lambda parts: F.pmod(F.xxhash64("node"), parts).cast("int")
+    columns = ["token", "node", "n", "p", "cut", "q", "part", "main", "bits"]
+    members = rows.select(*columns, F.lit(False).alias("query"), own(across).alias("j"), F.explode(F.sequence(F.lit(0), down - 1)).alias("i"))
+    queries = rows.filter("not main").select(*columns, F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), across - 1)).alias("j"), own(down).alias("i"))
+    cells = members.unionByName(queries).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+
+    def meeting(rows: dict, pairs: tuple[np.ndarray, np.ndarray]) -> set[tuple[int, int]]:
+        u, v = pairs
+        n_u, n_v = rows["n"][u], rows["n"][v]
+        node_u, node_v = rows["node"][u], rows["node"][v]
+        stays = (rows["part"][u] != rows["part"][v]) & (rows["main"][v] | (node_u < node_v)) & (np.minimum(n_u, n_v) * den >= np.maximum(n_u, n_v) * num)
+        overlap = (num * (n_u + n_v) + num + den - 1) // (num + den)
+        own_u, own_v = rows["p"][u] - n_u + overlap, rows["p"][v] - n_v + overlap
+        cut_u, cut_v = rows["cut"][u], rows["cut"][v]
+        needed = np.maximum(1, np.where(cut_u == cut_v, np.maximum(own_u, own_v), np.where(cut_u < cut_v, own_u, own_v)))
+        stays &= np.minimum(rows["p"][u] - rows["q"][u], rows["p"][v] - rows["q"][v]) >= needed
+        u, v = u[stays], v[stays]
+        stays = may_link(rows["n"][u], rows["n"][v], rows["bits"][u], rows["bits"][v], num, den)
+        x, y = rows["node"][u[stays]], rows["node"][v[stays]]
+        return set(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("token", "i", "j", "node", "n", "p", "cut", "q", "part", "main", "query")
+        rest: dict[str, np.ndarray] | None = None
+
+        def done(rows: dict[str, np.ndarray], bounds: np.ndarray) -> pa.RecordBatch:
+            found: set[tuple[int, int]] = set()
+            left: list[np.ndarray] = []
+            right: list[np.ndarray] = []
+            waiting = 0
+
+            def flush() -> None:
+                nonlocal waiting
+                if left:
+                    found.update(meeting(rows, (np.concatenate(left), np.concatenate(right))))
+                left.clear()
+                right.clear()
+                waiting = 0
+
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                asks = a + np.flatnonzero(rows["query"][a:b])
+                others = a + np.flatnonzero(~rows["query"][a:b])
+                step = max(1, PAIRS // max(1, len(others)))
+                for k in range(0, len(asks), step):
+                    some = asks[k : k + step]
+                    left.append(np.repeat(some, len(others)))
+                    right.append(np.tile(others, len(some)))
+                    waiting += len(left[-1])
+                    if waiting >= PAIRS:
+                        flush()
+            flush()
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names} | {"bits": _words(batch.column("bits"))}
+            rows = new if rest is None else {c: np.concatenate([rest[c], new[c]]) for c in new}
+            change = np.flatnonzero((np.diff(rows["token"]) != 0) | (np.diff(rows["i"]) != 0) | (np.diff(rows["j"]) != 0)) + 1
+            if len(change):  # the last cell may go on in the next batch
+                yield done(rows, np.concatenate([[0], change]))
+                rows = {c: x[change[-1] :] for c, x in rows.items()}
+            rest = rows
+        if rest is not None and len(rest["token"]):
+            yield done(rest, np.array([0, len(rest["token"])]))
+
+    return cells.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,42 +386,43 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     elements = elements.filter("least <> most").drop("least", "most").distinct()
     # Order by frequency: dropped elements come first, then the rarest; q is the place in that order.
     nth, all_of = F.row_number().over(Window.partitionBy("node").orderBy("df", "token")), F.count("*").over(Window.partitionBy("node"))
-    elements = stage(elements.select("token", "node", "n", "p", "cut", (F.col("p") - all_of + nth - 1).cast("int").alias("q")), "elements")
+    elements = elements.select("token", "node", "n", "p", "cut", (F.col("p") - all_of + nth - 1).cast("int").alias("q"))
     every = Window.partitionBy("token").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     leads = [F.first(c).over(every).alias(f"{c}_lead") for c in ("node", "n", "p", "cut", "q")]
     near_front = F.col("q") <= F.col("n") - F.ceil(F.col("n") * num / den)  # else no partner of any size is left enough
     grouped = elements.filter(near_front).select("*", *leads, F.last("node").over(every).alias("last"))
     grouped = stage(grouped.filter("node_lead <> last").drop("last").withColumnRenamed("node_lead", "lead"), "groups")
 
+    # What the pairs need of each node, and the one row whose text stands for it.
+    first = F.min(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))).alias("row")
+    nodes = survey.filter("node is not null").join(grouped.select(F.col("node").alias("x")).distinct(), F.col("node") == F.col("x"), "left_semi")
+    nodes = nodes.groupBy("node").agg(first, F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
+    nodes = stage(nodes.select("node", "n", "bits", "row.*"), "nodes")
+
     # Round 1: every node against the first node that it shares most prefix shingles with.
     near = grouped.filter("node <> lead").filter(_may_link("", "_lead", num, den)).groupBy("node", "lead").agg(F.count("*").alias("k"))
     near = near.groupBy("node").agg(F.max_by("lead", F.struct("k", "lead")).alias("lead"))
     pairs = stage(near.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), "pairs")
-    tested, links, found = pairs, None, True
+    tested, links, found, held = pairs, None, True, grouped
     while found:
-        new = stage(_verified(pairs, elements, rows, survey, level, n, num, den), "links")
+        new = stage(_verified(pairs, nodes, rows, n, num, den), "links")
         found = not new.isEmpty()
         links = new if links is None else links.unionByName(new)
         parts = connected_components(links, "a", "b")
         # Next rounds: for every two components that meet, the node and first node that meet most often.
-        held = _split_groups(grouped, parts)
-        met = held.filter("part <> lead_part").filter(_may_link("", "_lead", num, den))
-        met = met.groupBy("part", "lead_part", "node", "lead").agg(F.count("*").alias("k"))
-        pairs = met.groupBy(F.least("part", "lead_part").alias("p"), F.greatest("part", "lead_part").alias("q")).agg(F.max_by(F.struct("node", "lead"), F.struct("k", "node", "lead")).alias("r")).select("r.*")
-        pairs = pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-        pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        held = _split_groups(held, parts)
         if found:
+            met = held.filter("part <> lead_part").filter(_may_link("", "_lead", num, den))
+            met = met.groupBy("part", "lead_part", "node", "lead").agg(F.count("*").alias("k"))
+            pairs = met.groupBy(F.least("part", "lead_part").alias("p"), F.greatest("part", "lead_part").alias("q")).agg(F.max_by(F.struct("node", "lead"), F.struct("k", "node", "lead")).alias("r")).select("r.*")
+            pairs = pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+            pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
             found = not pairs.isEmpty()
             tested = tested.unionByName(pairs)
 
-    # Groups that still hold more than one component: all outside the largest against all not of their own.
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "p", "cut", "q", "part")]
-    left = held.filter("part <> main").select("token", "main", *side("u"))
-    right = held.select("token", *side("v"))
-    other = (F.col("part_u") != F.col("part_v")) & ((F.col("part_v") == F.col("main")) | (F.col("node_u") < F.col("node_v")))
-    open_pairs = left.join(right, "token").filter(other).filter(_may_link("_u", "_v", num, den))
-    last = open_pairs.select(F.least("node_u", "node_v").alias("a"), F.greatest("node_u", "node_v").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = stage(_verified(stage(last, "pairs"), elements, rows, survey, level, n, num, den), "links")
+    # Groups that still hold more than one component.
+    last = stage(_open_pairs(held, nodes, num, den).join(tested, ["a", "b"], "left_anti"), "pairs")
+    more = stage(_verified(last, nodes, rows, n, num, den), "links")
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more), "a", "b")
 
@@ -334,8 +443,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     chosen = named.filter("part is not null").groupBy("part").agg(F.min(first).alias("first"))
     chosen = chosen.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
-    marked = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    mark = "__text_hash"
+    while mark in docs.columns:
+        mark += "_"
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     wordless = ~F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(r"[^ \t-\r]")
-    kept = marked.filter(~wordless).join(chosen, docs[id_col].cast("long").eqNullSafe(chosen["__id"]) & (F.col("__text_hash") == chosen["__hash"]), "left_semi")
-    kept = kept.dropDuplicates([id_col, "__text_hash"])  # repeated rows
-    return kept.unionByName(marked.filter(wordless)).drop("__text_hash")
+    kept = marked.filter(~wordless).join(chosen, docs[id_col].cast("long").eqNullSafe(chosen["__id"]) & (marked[mark] == chosen["__hash"]), "left_semi")
+    kept = kept.dropDuplicates([id_col, mark])  # repeated rows
+    return kept.unionByName(marked.filter(wordless)).drop(mark)
