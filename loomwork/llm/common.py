@@ -32,9 +32,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def worker_cache() -> dict:
-    """A dict that lives as long as the Python worker, over all its tasks."""
-    return sys.__dict__.setdefault("_loomwork_worker_cache", {})
+def worker_cache(owner: str) -> dict:
+    """A dict that lives in the Python worker over the tasks of one operator; another operator's task drops it."""
+    held = sys.__dict__.setdefault("_loomwork_worker_cache", {})
+    if held.get("owner") != owner:
+        held.clear()
+        held["owner"] = owner
+        pa.default_memory_pool().release_unused()
+    return held
+
+
+#: Most bytes of an Arrow batch; Spark's own bound is 64 MB, of which a task holds several copies.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches hold at most BATCH_BYTES, whatever the size of their rows, unless the session asks for less."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,7 +62,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept in the worker up to a few MB."""
-    cache = worker_cache().setdefault("powers", {})
+    cache = sys.__dict__.setdefault("_loomwork_powers", {})
     have = cache.get(base)
     if have is None or len(have) < n:
         size = max(n, 1 << 16)

@@ -136,6 +136,7 @@ def _survey(rows: DataFrame, n: int) -> DataFrame:
     names = ["doc_id", "text_hash", "node", "n_shingles", "bits", "block", "counts"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.worker_cache("jaccard")
         counts = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
             nodes, sizes, bits = [], [], []
@@ -377,6 +378,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     """For every document doc_id, text_hash, n_shingles, component_id; node names equal sets and part its component (null: no words)."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
+    common.bound_batches(docs.sparkSession)
     survey = stage(_survey(rows, n), "survey")
     level = _levels(survey)
     # Elements that only one set has are dropped; the others get their exact frequency among the prefixes.

@@ -6,8 +6,8 @@ labels.  Every byte of a text lies in one window; a document's probabilities are
 the geometric means of its windows', weighted by their bytes.
 
 The network is fitted on the driver on a sample of at most about ``PER_LABEL``
-documents of each label (drawn by a hash of the id at a rate found from the label
-counts) and ``WINDOWS`` windows of each.  Its weights, some ten kilobytes, travel
+documents of each label (drawn by a hash of id and text at a rate found from the label
+counts) and ``WINDOWS`` windows of each (by a hash of their bytes and place).  Its weights, some ten kilobytes, travel
 with the tasks.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, and
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import common
 
@@ -34,6 +35,7 @@ EMBED, FILTERS, WIDTHS = 6, 16, (2, 3, 5)
 PER_LABEL, WINDOWS = 1000, 4
 EPOCHS, LEAST_STEPS, BATCH, RATE = 3, 400, 64, 0.01
 UNKNOWN = "und"
+_MIXED = common.mix(np.arange(1, LENGTH + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def windows_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,15 +141,19 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
         return None
     labels = sorted(counts)
     rate = F.create_map(*[x for c in labels for x in (F.lit(c), F.lit(min(1.0, PER_LABEL / counts[c])))])
-    drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1_000_000)) < rate[F.col(label_col)] * 1_000_000
-    sample = known.filter(drawn).select(F.col(label_col).alias("label"), F.col(text_col).cast("string").alias("text"))
+    lot = F.xxhash64(F.col(id_col), F.col(text_col), F.lit("sample"))
+    drawn = F.pmod(lot, F.lit(1_000_000)) < rate[F.col(label_col)] * 1_000_000
+    sample = known.filter(drawn).select(F.col(label_col).alias("label"), F.col(text_col).cast("string").alias("text"), lot.alias("lot"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, out = [], []
             for top, _, data, bounds in common.text_chunks(batch.column("text")):
                 codes, rows = windows_of(data, bounds)
-                rank = np.random.default_rng(len(data)).random(len(rows))
+                # By what a window holds and where it stands in its text, so that the file layout has no say.
+                nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                with np.errstate(over="ignore"):
+                    rank = common.mix((codes.astype(np.uint64) * _MIXED).sum(axis=1, dtype=np.uint64) + nth.astype(np.uint64))
                 order = np.lexsort((rank, rows))
                 nth = np.arange(len(rows)) - np.searchsorted(rows[order], rows[order])
                 some = order[nth < WINDOWS]
@@ -155,7 +161,9 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
                 out += [c.tobytes() for c in codes[some]]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.binary())], names=["label", "codes"])
 
-    got = sample.limit(2 * PER_LABEL * len(labels)).mapInArrow(cut, "label string, codes binary").toArrow()
+    # Repeated rows share their lot, so the bound needs a limit too; it is in the order of the lots.
+    sample = sample.orderBy("lot", "label").limit(2 * PER_LABEL * len(labels)).select("label", "text")
+    got = sample.mapInArrow(cut, "label string, codes binary").toArrow()
     if not got.num_rows:
         return None
     got = got.sort_by([("label", "ascending"), ("codes", "ascending")])
@@ -167,14 +175,19 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
 def predict(docs: DataFrame, net: Network | None, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep`` columns, ``lang_pred`` and ``score`` of every whole text; no shuffle."""
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"), letters.alias("__letters"))
+    common.bound_batches(docs.sparkSession)
+    # A text that is kept crosses to Python once.
+    shared = text_col in keep and docs.schema[text_col].dataType == StringType()
+    source = text_col if shared else "__text"
+    rows = docs.select(*keep, *([] if shared else [F.col(text_col).cast("string").alias("__text")]), letters.alias("__letters"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.worker_cache("langid")
         for batch in batches:
             names, scores = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
             lettered = batch.column("__letters").to_pylist()
-            for top, last, data, bounds in common.text_chunks(batch.column("__text")):
+            for top, last, data, bounds in common.text_chunks(batch.column(source)):
                 if net is None:
                     break
                 codes, rows = windows_of(data, bounds)

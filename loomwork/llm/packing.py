@@ -43,7 +43,9 @@ SHARD_DOCS = 1500
 END_ID = 1
 K1, B = 1.2, 0.75
 #: Words known by heart in a worker; beyond this the table starts anew.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 400_000
+#: Longer words are not kept, so that the table's memory is bounded.
+KNOWN_LENGTH = 64
 
 # Text in which splitting at white space and caching by word is exact: ASCII without
 # control signs and apostrophes, and composed Latin letters that lower-case to one letter.
@@ -67,14 +69,18 @@ class Encoder:
         class Pieces(dict):
             def __missing__(self, piece: str) -> bytes:
                 letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(encoder.bytes)
-                ids = self[piece] = array("I", [t.id for t in encoder.model.tokenize(letters)]).tobytes()
+                ids = array("I", [t.id for t in encoder.model.tokenize(letters)]).tobytes()
+                if len(piece) <= KNOWN_LENGTH:
+                    self[piece] = ids
                 return ids
 
         class Words(dict):
             def __missing__(self, word: str) -> bytes:
                 word_ = word.lower()
                 found = (word_,) if word_.isalpha() else _PIECE.findall(word_)
-                ids = self[word] = b"".join([encoder.pieces[p] for p in found])
+                ids = b"".join([encoder.pieces[p] for p in found])
+                if len(word) <= KNOWN_LENGTH:
+                    self[word] = ids
                 return ids
 
         self.pieces, self.words = Pieces(), Words()
@@ -99,7 +105,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 def encoder(path: str) -> Encoder:
-    cache = common.worker_cache()
+    cache = common.worker_cache("packing")
     if ("encoder", path) not in cache:
         cache["encoder", path] = Encoder(path)
     return cache["encoder", path]
@@ -199,6 +205,7 @@ def _laid(filled: list[tuple], sequence: int) -> list[tuple]:
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids (packed little-endian uint32), doc_tokens, sequence_id, offset."""
+    common.bound_batches(docs.sparkSession)
     shards = max(1, -(-docs.count() // SHARD_DOCS))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 

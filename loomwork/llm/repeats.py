@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from loomwork.staging import stage
 
@@ -123,16 +124,17 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], length: int) -> Ite
                     yield left, right, part
 
 
-def _keys(docs: DataFrame, text_col: str) -> list:
+def _keys(text_col: str) -> list:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"), text.alias("text")]
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")]
 
 
-def _anchors(texts: DataFrame, length: int) -> DataFrame:
+def _anchors(texts: DataFrame, length: int, text_col: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.worker_cache("repeats")
         for batch in batches:
             k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
-            for top, _, data, bounds in common.text_chunks(batch.column("text")):
+            for top, _, data, bounds in common.text_chunks(batch.column(text_col)):
                 with np.errstate(over="ignore"):
                     row, place, lo, hi, seed = anchors_of(data, bounds, length)
                 if not len(row):
@@ -143,10 +145,10 @@ def _anchors(texts: DataFrame, length: int) -> DataFrame:
                 columns = (k1[top + row], k2[top + row], place - base, lo - base, hi - base, seed.view(np.int64), pair[:, 0], pair[:, 1])
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=["k1", "k2", "place", "lo", "hi", "seed", "c1", "c2"])
 
-    return texts.select("k1", "k2", "text").mapInArrow(run, "k1 bigint, k2 bigint, place bigint, lo bigint, hi bigint, seed bigint, c1 bigint, c2 bigint")
+    return texts.select("k1", "k2", text_col).mapInArrow(run, "k1 bigint, k2 bigint, place bigint, lo bigint, hi bigint, seed bigint, c1 bigint, c2 bigint")
 
 
-def _contexts(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+def _contexts(wanted: DataFrame, texts: DataFrame, length: int, text_col: str) -> DataFrame:
     """The bytes of the wanted contexts, cut from their texts: seed, size, settled, k1, k2, place, lo, context."""
     lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "lo", "hi", "seed", "settled", "size")).alias("wanted"))
     schema = "seed bigint, size bigint, settled boolean, k1 bigint, k2 bigint, place bigint, lo bigint, context binary"
@@ -155,10 +157,10 @@ def _contexts(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
         last = None
         for batch in batches:
             out: list[tuple] = []
-            for k1, k2, text, wanted in zip(*(batch.column(c) for c in ("k1", "k2", "text", "wanted")), strict=True):
+            for k1, k2, text, wanted in zip(*(batch.column(c) for c in ("k1", "k2", text_col, "wanted")), strict=True):
                 if (key := (k1.as_py(), k2.as_py())) == last:
                     continue  # a copy of the row before
-                last, raw = key, text.as_py().encode("utf-8", "surrogatepass")
+                last, raw = key, (text.as_py() or "").encode("utf-8", "surrogatepass")
                 for w in wanted.as_py():
                     out.append((w["seed"], w["size"], w["settled"], *key, w["place"], w["lo"], raw[w["lo"] : w["hi"] + length]))
                 if len(out) > 4000:
@@ -232,9 +234,9 @@ def _counted_spans(contexts: DataFrame, length: int) -> DataFrame:
     return rows.join(often, ["seed", "string"]).filter("n = 1").select("k1", "k2", "start", (F.col("start") + length).alias("end"))
 
 
-def repeat_spans(texts: DataFrame, length: int) -> DataFrame:
+def repeat_spans(texts: DataFrame, length: int, text_col: str) -> DataFrame:
     """(k1, k2, start, end): spans to remove, by text; they may overlap."""
-    anchors = stage(_anchors(texts, length).groupBy("k1", "k2", "place", "lo", "hi", "seed", "c1", "c2").agg(F.count("*").alias("n")), "anchors")
+    anchors = stage(_anchors(texts, length, text_col).groupBy("k1", "k2", "place", "lo", "hi", "seed", "c1", "c2").agg(F.count("*").alias("n")), "anchors")
     contexts = anchors.groupBy("seed", "c1", "c2").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "place", "lo", "hi")))
     twice = contexts.filter("n > 1").select("seed", "c1", "c2")
     spans = anchors.join(twice, ["seed", "c1", "c2"]).select("k1", "k2", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
@@ -242,7 +244,7 @@ def repeat_spans(texts: DataFrame, length: int) -> DataFrame:
     shared = contexts.groupBy("seed").agg(F.count("*").alias("size"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("open")).filter("size > 1 and open > 0")
     wanted = contexts.join(shared.drop("open"), "seed").select("k1", "k2", "place", "lo", "hi", "seed", (F.col("n") > 1).alias("settled"), "size")
     wanted = stage(wanted, "shared-seeds")
-    met = _contexts(wanted, texts, length)
+    met = _contexts(wanted, texts, length, text_col)
     spans = spans.unionByName(_tree_spans(met.filter(F.col("size") <= GROUP), length))
     if not wanted.filter(F.col("size") > GROUP).isEmpty():
         spans = spans.unionByName(_counted_spans(met.filter(F.col("size") > GROUP), length))
@@ -262,8 +264,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, and of each text: n_bytes, n_removed, the removed runs, and the bytes that stay."""
-    rows = docs.select(*keep, *_keys(docs, text_col))
-    lists = repeat_spans(rows, length).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    common.bound_batches(docs.sparkSession)
+    # A text that is kept is shuffled once and crosses to Python once.
+    shared = text_col in keep and docs.schema[text_col].dataType == StringType()
+    source = text_col if shared else "__text"
+    rows = docs.select(*keep, *_keys(text_col), *([] if shared else [F.col(text_col).cast("string").alias("__text")]))
+    lists = repeat_spans(rows, length, source).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     schema = f"{kinds}, n_bytes bigint, n_removed bigint, runs array<struct<start:bigint,end:bigint>>, kept binary"
     runs_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -271,8 +277,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", k
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, runs, kept = [], [], [], []
-            for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
-                raw, at, left = text.as_py().encode("utf-8", "surrogatepass"), 0, []
+            for text, spans in zip(batch.column(source), batch.column("spans"), strict=True):
+                raw, at, left = (text.as_py() or "").encode("utf-8", "surrogatepass"), 0, []
                 cut = merged([(x["start"], x["end"]) for x in spans.as_py() or ()])
                 for start, end in cut:
                     left.append(raw[at:start])
@@ -285,4 +291,4 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", k
             arrays = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, runs_type), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *arrays], names=[*keep, "n_bytes", "n_removed", "runs", "kept"])
 
-    return rows.join(lists, ["k1", "k2"], "left").select(*keep, "text", "spans").mapInArrow(run, schema)
+    return rows.join(lists, ["k1", "k2"], "left").select(*keep, *([] if shared else [source]), "spans").mapInArrow(run, schema)

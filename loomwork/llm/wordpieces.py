@@ -29,7 +29,8 @@ from . import common
 common.by_value(__name__)
 
 END = 256
-KNOWN_WORDS = 1_000_000
+#: Words kept in a worker, of at most so many bytes each.
+KNOWN_WORDS, KNOWN_LENGTH = 400_000, 64
 
 
 def byte_vocabulary(path: str) -> list[tuple[int, ...]]:
@@ -99,13 +100,15 @@ def token_counts(docs: DataFrame, vocabulary_path: str, text_col: str = "text",
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = common.worker_cache()
+        cache = common.worker_cache("wordpieces")
         if ("pieces", vocabulary_path) not in cache:
             automaton = Automaton(byte_vocabulary(vocabulary_path))
 
             class Counts(dict):
                 def __missing__(self, word: bytes) -> int:
-                    n = self[word] = automaton.count([*word, END])
+                    n = automaton.count([*word, END])
+                    if len(word) <= KNOWN_LENGTH:
+                        self[word] = n
                     return n
 
             cache["pieces", vocabulary_path] = Counts()
