@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.operators.graph_components import connected_components
-from loomwork.staging import stage
+from loomwork.staging import mark, release, stage
 
 from . import common
 
@@ -379,6 +379,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
     common.bound_batches(docs.sparkSession)
+    began = mark()
     survey = stage(_survey(rows, n), "survey")
     level = _levels(survey)
     # Elements that only one set has are dropped; the others get their exact frequency among the prefixes.
@@ -428,6 +429,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more), "a", "b")
 
+    parts = stage(parts, "parts")
+    release(began, survey, parts)
     documents = survey.filter("block is null").select("doc_id", "text_hash", "node", "n_shingles")
     named = documents.join(parts.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left")
     named = named.select("doc_id", "text_hash", "node", "n_shingles", F.coalesce("component", "node").alias("part"))
@@ -441,15 +444,17 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Documents without words are in no component and stay.
     """
+    began = mark()
     named = jaccard_components(docs, id_col=id_col, text_col=text_col, **how).select("doc_id", "text_hash", "part")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     chosen = named.filter("part is not null").groupBy("part").agg(F.min(first).alias("first"))
-    chosen = chosen.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
-    mark = "__text_hash"
-    while mark in docs.columns:
-        mark += "_"
-    marked = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    chosen = stage(chosen.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash")), "chosen")
+    release(began, chosen)
+    key = "__text_hash"
+    while key in docs.columns:
+        key += "_"
+    marked = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     wordless = ~F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(r"[^ \t-\r]")
-    kept = marked.filter(~wordless).join(chosen, docs[id_col].cast("long").eqNullSafe(chosen["__id"]) & (marked[mark] == chosen["__hash"]), "left_semi")
-    kept = kept.dropDuplicates([id_col, mark])  # repeated rows
-    return kept.unionByName(marked.filter(wordless)).drop(mark)
+    kept = marked.filter(~wordless).join(chosen, docs[id_col].cast("long").eqNullSafe(chosen["__id"]) & (marked[key] == chosen["__hash"]), "left_semi")
+    kept = kept.dropDuplicates([id_col, key])  # repeated rows
+    return kept.unionByName(marked.filter(wordless)).drop(key)

@@ -33,11 +33,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from loomwork.staging import stage
+from loomwork.staging import free_shuffles, stage
 
 from . import common
 
@@ -236,14 +236,17 @@ def _counted_spans(contexts: DataFrame, length: int) -> DataFrame:
 
 def repeat_spans(texts: DataFrame, length: int, text_col: str) -> DataFrame:
     """(k1, k2, start, end): spans to remove, by text; they may overlap."""
-    anchors = stage(_anchors(texts, length, text_col).groupBy("k1", "k2", "place", "lo", "hi", "seed", "c1", "c2").agg(F.count("*").alias("n")), "anchors")
-    contexts = anchors.groupBy("seed", "c1", "c2").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "place", "lo", "hi")))
-    twice = contexts.filter("n > 1").select("seed", "c1", "c2")
-    spans = anchors.join(twice, ["seed", "c1", "c2"]).select("k1", "k2", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
-
-    shared = contexts.groupBy("seed").agg(F.count("*").alias("size"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("open")).filter("size > 1 and open > 0")
-    wanted = contexts.join(shared.drop("open"), "seed").select("k1", "k2", "place", "lo", "hi", "seed", (F.col("n") > 1).alias("settled"), "size")
-    wanted = stage(wanted, "shared-seeds")
+    columns = ["k1", "k2", "place", "lo", "hi", "seed", "c1", "c2"]
+    anchors = _anchors(texts, length, text_col).groupBy(*columns).agg(F.count("*").alias("n")).repartition("seed")
+    # One dealing by seed serves both the contexts' counts and the seeds'.
+    context, seed = Window.partitionBy("seed", "c1", "c2"), Window.partitionBy("seed")
+    counted = anchors.select("*", F.sum("n").over(context).alias("total"), (F.row_number().over(context.orderBy("k1", "k2", "place")) == 1).alias("first"))
+    counted = counted.select("*", F.sum(F.col("first").cast("long")).over(seed).alias("size"), F.max(F.col("total") == 1).over(seed).alias("open"))
+    shared = (F.col("size") > 1) & F.col("open")
+    busy = stage(counted.filter((F.col("total") > 1) | shared), "busy-seeds")
+    free_shuffles(texts.sparkSession)
+    spans = busy.filter("total > 1").select("k1", "k2", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
+    wanted = busy.filter(F.col("first") & shared).select("k1", "k2", "place", "lo", "hi", "seed", (F.col("total") > 1).alias("settled"), "size")
     met = _contexts(wanted, texts, length, text_col)
     spans = spans.unionByName(_tree_spans(met.filter(F.col("size") <= GROUP), length))
     if not wanted.filter(F.col("size") > GROUP).isEmpty():
