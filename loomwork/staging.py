@@ -8,12 +8,14 @@ folder of this process is used.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_STAGED: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,4 +36,37 @@ def stage(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> Dat
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """A point in the list of staged tables, for ``release``."""
+    return len(_STAGED)
+
+
+def release(since: int, *keep: DataFrame) -> None:
+    """Delete the tables staged since a mark, but those that the frames of ``keep`` still read.
+
+    For the end of an operator whose result no longer needs its rounds' tables.
+    """
+    if len(_STAGED) <= since:
+        return
+    read = {file.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for df in keep for file in df.inputFiles()}
+    spark = keep[0].sparkSession
+    for path in _STAGED[since:]:
+        if path.split(":", 1)[-1].lstrip("/") not in read:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            _STAGED.remove(path)
+    free_shuffles(spark)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffle files that only finished, staged work has used.
+
+    It removes them when the driver's garbage collector meets their owners, which may
+    otherwise be long after the next step has filled the disks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
