@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: formats tried in this order after the ISO cast; month-first before day-first.
-FORMATS = ("M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "d/M/yyyy H:mm", "d/M/yyyy", "MMMM d, yyyy", "d MMM yyyy", "yyyyMMdd")
+#: Formats tried in this order after the ISO cast; month-first before day-first.  Eight digits alone are an id, no date.
+FORMATS = ("M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "d/M/yyyy H:mm", "d/M/yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "yyyy/MM/dd")
 
 
 def parse_time(text: Column) -> Column:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: what counts as missing.
 MISSING = ("N/A", "NA", "NULL", "NONE", "NIL", "-", "--", "?", "")
-#: Fixed value: delimiters in the order in which they are tried.
-DELIMITERS = (",", ";", "|", "/", "-", "_", " ")
+#: Delimiters in the order in which they are tried, the more specific ones first.
+DELIMITERS = (", ", " | ", " - ", ";", ",", "|", "\t", "/", "-", "_", " ")
 
 
 def trim(c: Column) -> Column:
@@ -31,7 +31,8 @@ def fill_null(c: Column, value) -> Column:
 
 def embedded_number(c: Column) -> Column:
     """The only number in a text, or null."""
-    return F.regexp_extract(c, r"(-?[0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
+    number = r"(-?[0-9]+(?:\.[0-9]+)?)"
+    return F.when(F.regexp_count(c, F.lit(number)) == 1, F.regexp_extract(c, number, 1).try_cast("double"))
 
 
 def split_column(df: DataFrame, column: str, delimiter: str, parts: int) -> DataFrame:

@@ -48,7 +48,7 @@ def safe_pattern(pattern: str) -> bool:
                 ambiguous.append(i)
             if opened and loose:
                 opened[-1] = True
-        elif c in "*+{|" and opened:
+        elif opened and (c in "*+{|" or c == "?" and pattern[i - 1] not in "(*+?}"):
             opened[-1] = True
         i += 1
     if ambiguous or most > 8 or opened:
@@ -66,7 +66,9 @@ def violation(check: Check) -> Column:
     if check.kind == "completeness":
         return c.isNull()
     if check.kind == "accepted_values":
-        return c.isNotNull() & ~F.lower(c.cast("string")).isin([str(v).lower() for v in o["values"][:100]])
+        if not 1 <= len(o["values"]) <= 100:
+            raise ValueError("a check accepts 1 to 100 values; more belong in a table and a join")
+        return c.isNotNull() & ~F.lower(c.cast("string")).isin([str(v).lower() for v in o["values"]])
     if check.kind == "valid_range":
         v = F.expr(f"try_cast(`{check.column}` as double)")
         bad = v.isNull()

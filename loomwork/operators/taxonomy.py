@@ -57,8 +57,9 @@ TYPES: tuple[SemanticType, ...] = (
 
 
 def header_score(name: str, headers: tuple[str, ...]) -> float:
-    """1 equal, 0.95 equal without separators, 0.85 all words of a known name, 0.65 as a run inside."""
-    words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "_", name).lower()) if w]
+    """1 equal, 0.95 equal without separators, 0.85 all words of a known name, 0.65 as whole words in a row that spell it (three signs at least)."""
+    words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", name).lower()) if w]
+    runs = {"".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1)}
     best = 0.0
     for known in headers:
         other = known.split("_")
@@ -68,7 +69,7 @@ def header_score(name: str, headers: tuple[str, ...]) -> float:
             best = max(best, 0.95)
         elif set(other) <= set(words):
             best = max(best, 0.85)
-        elif "_".join(other) in "_".join(words):
+        elif len("".join(other)) >= 3 and "".join(other) in runs:
             best = max(best, 0.65)
     return best
 

@@ -82,6 +82,25 @@ class Notebook:
         return self.cells[name].result
 
 
+#: Functions that run code or name files, however they are spelled in a query.
+REFUSED_FUNCTIONS = {"reflect", "java_method", "try_reflect", "read_files", "input_file_name", "input_file_block_start", "input_file_block_length"}
+
+
+def _plans_inside(expression) -> list:
+    """The plans of sub-queries anywhere in an expression; a refused function is an error."""
+    found, queue = [], deque([expression])
+    while queue:
+        e = queue.popleft()
+        kind = e.getClass().getSimpleName()
+        if kind == "UnresolvedFunction" and e.nameParts().last().lower() in REFUSED_FUNCTIONS:
+            raise ValueError(f"{e.nameParts().last()} is not allowed")
+        if hasattr(e, "plan") and kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
+            found.append(e.plan())
+        children = e.children()
+        queue.extend(children.apply(i) for i in range(children.size()))
+    return found
+
+
 def read_only_tables(spark: SparkSession, sql: str, allowed: set[str] | None = None) -> set[str]:
     """The tables that one query reads; anything but a query, a path relation or a table outside ``allowed`` is an error.
 
@@ -92,7 +111,7 @@ def read_only_tables(spark: SparkSession, sql: str, allowed: set[str] | None = N
     while queue:
         node = queue.popleft()
         kind = node.getClass().getSimpleName()
-        if kind.endswith("Command") or kind.startswith(("Insert", "Create", "Drop", "Replace", "Delete", "Update", "Merge", "Alter", "Set", "Truncate", "Load", "Cache", "Uncache", "Refresh", "Add")):
+        if kind.endswith("Command") or kind.startswith(("Describe", "Show", "Explain", "Analyze", "Insert", "Create", "Drop", "Replace", "Delete", "Update", "Merge", "Alter", "Set", "Truncate", "Load", "Cache", "Uncache", "Refresh", "Add")):
             raise ValueError(f"{kind} is not a query")
         if kind == "UnresolvedTableValuedFunction" and "range" not in node.toString().lower():
             raise ValueError("table functions are not allowed")
@@ -104,6 +123,9 @@ def read_only_tables(spark: SparkSession, sql: str, allowed: set[str] | None = N
             for i in range(relations.size()):
                 ctes.add(relations.apply(i)._1())
                 queue.append(relations.apply(i)._2())
+        expressions = node.expressions()
+        for i in range(expressions.size()):
+            queue.extend(_plans_inside(expressions.apply(i)))
         children = node.children()
         queue.extend(children.apply(i) for i in range(children.size()))
     names -= ctes
