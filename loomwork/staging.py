@@ -52,10 +52,11 @@ def release(since: int, *keep: DataFrame) -> None:
     """
     if len(_STAGED) <= since:
         return
-    read = {file.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for df in keep for file in df.inputFiles()}
+    read = [file for df in keep for file in df.inputFiles()]
     spark = keep[0].sparkSession
     for path in _STAGED[since:]:
-        if path.split(":", 1)[-1].lstrip("/") not in read:
+        name = path.rsplit("/", 1)[-1]  # unique, and the same whether or not a path names its file system
+        if not any(f"/{name}/" in file for file in read):
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
             _STAGED.remove(path)
