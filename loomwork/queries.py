@@ -315,13 +315,18 @@ def merge_map(spark, sf_dir):
     return resolve.merge_values(rows, "name", counts.join(best, "fingerprint").select("value", "canonical"))
 
 
-@query(f"""with v as (select value, left({_FP}, 1) as block from (select distinct p_name as value from part)) select a.value as a, b.value as b, 1 - levenshtein(a.value, b.value) / length(b.value)::double as similarity from v a join v b
-on a.block = b.block and (length(b.value) > length(a.value) or (length(b.value) = length(a.value) and b.value > a.value)) where 1 - levenshtein(a.value, b.value) / length(b.value)::double > 0.7 - 1e-9""")
+_NEAR = f"""with v as (select value, left({_FP}, 1) as block from (select distinct p_name as value from part)) select a.value as a, b.value as b, 1 - levenshtein(a.value, b.value) / length(b.value)::double as similarity from v a join v b
+on a.block = b.block and (length(b.value) > length(a.value) or (length(b.value) = length(a.value) and b.value > a.value)) where 1 - levenshtein(a.value, b.value) / length(b.value)::double > 0.7 - 1e-9"""
+
+
+@query(_NEAR)
 def nearest_neighbour_pairs(spark, sf_dir):
     return resolve.near_pairs(resolve.value_counts(table(spark, sf_dir, "part"), "p_name"), 0.7, ascii_only=True)
 
 
-@query()
+@query(f"""with recursive p as ({_NEAR}), w as (select a, b from p union select b, a from p), r as (select a as value, a as reach from w union select r.value, w.b from r join w on r.reach = w.a),
+k as (select value, min(reach) as cluster from r group by 1), c as (select p_name as value, count(*) as n from part where p_name <> '' group by 1)
+select value, cluster, first_value(value) over (partition by cluster order by n desc, length(value) desc, value) as canonical from k join c using (value)""")
 def nearest_neighbour_clusters(spark, sf_dir):
     return resolve.near_clusters(resolve.value_counts(table(spark, sf_dir, "part"), "p_name"), 0.7, ascii_only=True)
 
@@ -637,19 +642,27 @@ def graph_clustering(spark, sf_dir):
     return graph.clustering(_edges(spark, sf_dir)).withColumn("coefficient", F.round("coefficient", 6))
 
 
-@query()
+@query(f"""with recursive e as {_EDGES}, w as (select src, dst from e union select dst, src from e), r as (select 0 as i, src as node, count(*) as h from w group by 2
+union all select i + 1, node, max(least(h, c)) from (select r.i, w.src as node, r.h, row_number() over (partition by w.src order by r.h desc) as c from r join w on w.dst = r.node where r.i < 60) group by 1, 2)
+select node, h as core from r where i = 60""")
 def graph_core_numbers(spark, sf_dir):
     return graph.core_numbers(_edges(spark, sf_dir))
 
 
-@query()
+@query(f"""with recursive e as {_EDGES}, w as (select src, dst from e union select dst, src from e), k as (select src, count(*) as k from w group by 1), n as (select count(*)::double as n from k),
+p as (select 0 as i, src as node, 1.0::double / n as rank from k, n union all select p.i + 1, w.dst, (1 - 0.85::double) / n + 0.85::double * sum(rank / k) from p join k on k.src = p.node join w on w.src = p.node, n where p.i < 100 group by p.i, w.dst, n),
+m as (select a.i, sum(abs(a.rank - b.rank)) as moved from p a join p b on a.i = b.i + 1 and a.node = b.node group by 1)
+select node, round(rank, 8) as rank from p where i = (select coalesce(min(i), 100) from m, n where moved < n * 1e-6)""")
 def graph_pagerank(spark, sf_dir):
-    return graph.pagerank(_edges(spark, sf_dir), tolerance=1e-5).withColumn("rank", F.round("rank", 8))
+    return graph.pagerank(_edges(spark, sf_dir)).withColumn("rank", F.round("rank", 8))
 
 
-@query()
+@query(f"""with recursive e as {_EDGES}, w as (select src, dst from e union select dst, src from e), r as (select src as s, src as t, 0 as d from w union select r.s, w.dst, r.d + 1 from r join w on w.src = r.t where r.d < 16),
+l as (select s, t, min(d) as d from r group by 1, 2), p as (select s, t, d, 1.0::double as n from l where d = 0 union all select l.s, l.t, l.d, sum(p.n) from p join w on w.src = p.t join l on l.s = p.s and l.t = w.dst and l.d = p.d + 1 group by 1, 2, 3),
+b as (select x.t as node, sum(x.n * y.n / z.n) as b from p x join p y on x.t = y.s and x.d > 0 and y.d > 0 join p z on z.s = x.s and z.t = y.t and z.d = x.d + y.d group by 1), k as (select distinct src as node from w), n as (select count(*) as n from k)
+select k.node, round(case when n > 2 then coalesce(b, 0) / ((n - 1) * (n - 2)) else 0 end, 8)::double as betweenness from n, k left join b on b.node = k.node""")
 def graph_betweenness(spark, sf_dir):
-    return graph.betweenness(_edges(spark, sf_dir))
+    return graph.betweenness(_edges(spark, sf_dir)).withColumn("betweenness", F.round("betweenness", 8))
 
 
 @query()
@@ -667,13 +680,37 @@ def transitive_closure(spark, sf_dir):
     return closure.transitive_closure(nation.unionByName(customer))
 
 
-@query()
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands under materials under part; brands are subclasses of size classes, which are disjoint; a material has another name."""
+    part = table(spark, sf_dir, "part").select("p_brand", F.element_at(F.split("p_type", " "), -1).alias("metal"), F.concat(F.lit("size:"), (F.col("p_size") % 4).cast("string")).alias("size"))
+    size = part.select("size").distinct()
+    of = lambda df, relation, src, dst: df.select(F.lit(relation).alias("relation"), src.alias("src"), dst.alias("dst"))
+    brand, metal = F.concat(F.lit("brand:"), "p_brand"), F.concat(F.lit("metal:"), "metal")
+    facts = of(part, "broader", brand, metal).unionByName(of(part, "broader", metal, F.lit("root:part")))
+    facts = facts.unionByName(of(part, "subClassOf", brand, F.col("size"))).unionByName(of(part, "exactMatch", metal, F.concat(F.lit("stuff:"), "metal")))
+    return facts.unionByName(of(size.join(size.withColumnRenamed("size", "other"), F.col("size") < F.col("other")), "disjointWith", F.col("size"), F.col("other")))
+
+
+# Between sizes a < b is asserted; what a brand is disjoint with follows from its sizes, what is disjoint with a brand by symmetry.
+_REASONED = """with part_of as (select distinct 'brand:' || p_brand as brand, 'metal:' || split_part(p_type, ' ', -1) as metal, 'size:' || (p_size % 4) as size from part),
+sub as (select distinct brand, size from part_of), sizes as (select distinct size from part_of), apart as (select a.size as a, b.size as b from sizes a join sizes b on a.size <> b.size),
+far as (select distinct brand, b as size from sub join apart on a = size),
+known as (select 'broader' as relation, brand as src, metal as dst, 'asserted' as rule from part_of union select 'broader', metal, 'root:part', 'asserted' from part_of union select 'broader', brand, 'root:part', 'broader-transitive' from part_of
+union select 'subClassOf', brand, size, 'asserted' from sub union select 'exactMatch', metal, 'stuff:' || metal[7:], 'asserted' from part_of union select 'exactMatch', 'stuff:' || metal[7:], metal, 'symmetric' from part_of
+union select 'disjointWith', a, b, case when a < b then 'asserted' else 'symmetric' end from apart union select 'disjointWith', brand, size, 'disjoint-down' from far union select 'disjointWith', size, brand, 'symmetric' from far
+union select 'disjointWith', s.brand, f.brand, 'disjoint-down' from sub s join far f on s.size = f.size where s.brand <> f.brand)"""
+
+
+@query(f"{_REASONED} select relation, src, dst, rule from known")
 def rule_reasoning(spark, sf_dir):
-    """Brand subclass of type family subclass of part; families are disjoint."""
-    part = table(spark, sf_dir, "part").select("p_brand", F.element_at(F.split("p_type", " "), -1).alias("metal"))
-    facts = part.select(F.lit("broader").alias("relation"), F.concat(F.lit("brand:"), "p_brand").alias("src"), F.concat(F.lit("metal:"), "metal").alias("dst"))
-    up = part.select(F.lit("broader").alias("relation"), F.concat(F.lit("metal:"), "metal").alias("src"), F.lit("root:part").alias("dst"))
-    return closure.reason(facts.unionByName(up))
+    """All facts that follow from those of the parts, each with the rule that first gave it."""
+    return closure.reason(_facts(spark, sf_dir))
+
+
+@query(f"{_REASONED} select distinct s.src, s.dst from known s join known d on s.src = d.src and s.dst = d.dst where s.relation = 'subClassOf' and d.relation = 'disjointWith'")
+def rule_conflicts(spark, sf_dir):
+    """Brands that are a subclass of a size class and disjoint with it, as their parts have several sizes."""
+    return closure.conflicts(closure.reason(_facts(spark, sf_dir)))
 
 
 # --- dates, constraints, Python cells -----------------------------------------------------------
@@ -718,7 +755,8 @@ def streaming_daily(spark, sf_dir):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
-@query()
+@query("""with o as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) > interval 6 hour then 1 else 0 end as fresh from events where ts is not null),
+s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from o) select user_id, min(ts)::timestamp as start, (max(ts) + interval 6 hour)::timestamp as "end", count(*) as n from s group by user_id, k""")
 def streaming_sessions(spark, sf_dir):
     batch = table(spark, sf_dir, "events")
     events = streams.read_events(spark, _folder(sf_dir, "events"), batch.schema)
