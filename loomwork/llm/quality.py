@@ -102,8 +102,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     total = known.count()
     if not total:
         return None
-    drawn = known.filter(F.pmod(F.xxhash64(F.col("__id"), F.lit("sample")), F.lit(1_000_000)) < min(1.0, SAMPLE / total) * 1_000_000).limit(2 * SAMPLE)
-    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(drawn), "__id").limit(4 * SAMPLE)
+    drawn = known.filter(F.pmod(F.xxhash64(F.col("__id"), F.lit("sample")), F.lit(1_000_000)) < min(1.0, SAMPLE / total) * 1_000_000)
+    drawn = drawn.orderBy(F.xxhash64("__id", F.lit("sample")), "__id", "label").limit(2 * SAMPLE)
+    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(drawn), "__id")
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +113,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
                 arrays = [batch.column("__id").slice(top, last - top), batch.column("label").slice(top, last - top), pa.array([t.astype(np.float16).tobytes() for t in terms], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["id", "label", "terms"])
 
-    got = rows.select(F.col("__id").cast("long"), "label", "text").mapInArrow(measure, "id bigint, label int, terms binary").toArrow()
+    got = rows.select(F.col("__id").cast("long"), "label", "text").mapInArrow(measure, "id bigint, label int, terms binary")
+    # Repeated ids may bring more rows than were drawn: the bound is then in the order of ids and contents.
+    got = got.orderBy(F.xxhash64("id", F.lit("sample")), "id", "label", "terms").limit(4 * SAMPLE).toArrow()
     if not got.num_rows:
         return None
     got = got.sort_by([("id", "ascending"), ("terms", "ascending"), ("label", "ascending")])

@@ -81,4 +81,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# Strings of 400 bytes are told apart by MD5; a start that is not alone in its class marks its 400 bytes.
+_REPEATS_SQL = """with t as (select doc_id, encode(coalesce(text, '')) as b, octet_length(encode(coalesce(text, ''))) as n from documents),
+w as (select doc_id, i, md5(b[i:i + 399]) as h from (select doc_id, b, unnest(range(1, n - 398)) as i from t where n >= 400)),
+s as (select doc_id, i from w where h in (select h from w group by h having count(*) > 1)),
+f as (select doc_id, i, case when i <= lag(i) over o + 400 then 0 else 1 end as fresh from s window o as (partition by doc_id order by i)),
+g as (select doc_id, i, sum(fresh) over (partition by doc_id order by i rows unbounded preceding) as k from f),
+r as (select doc_id, k, min(i) as first, max(i) + 399 as last from g group by doc_id, k),
+v as (select doc_id, first, coalesce(lag(last) over (partition by doc_id order by first), 0) + 1 as since, last from r),
+k as (select v.doc_id, sum(last - first + 1)::bigint as n_removed, count(*) as n_spans, string_agg(case when first > since then hex(b[since:first - 1]) else '' end, '' order by first) as front, max(last) as last from v join t on t.doc_id = v.doc_id group by v.doc_id)
+select t.doc_id, t.n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+sha256(unhex(coalesce(front, '') || case when coalesce(k.last, 0) < t.n then hex(b[coalesce(k.last, 0) + 1:n]) else '' end)) as kept_sha256 from t left join k on k.doc_id = t.doc_id"""
+
+# Shingles are compared as they are, pairs by what they share, components by reach.
+_JACCARD_SQL = r"""with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, md5(unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)) as shingle from t),
+n as (select doc_id, count(*) as n from s group by doc_id), p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 75 * (x.n + y.n - shared)), e as (select a, b from l union select b, a from l),
+r as (select a as node, a as reach from e union select r.node, e.b from r join e on r.reach = e.a), c as (select node, min(reach) as least from r group by 1)
+select t.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c.least, t.doc_id) as component_id from t left join n on n.doc_id = t.doc_id left join c on c.node = t.doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op5_repeats": _REPEATS_SQL, "op7_jaccard": _JACCARD_SQL}

@@ -430,3 +430,20 @@ def test_empty_tables(spark, tmp_path, name):
 
 def test_sql_only_for_known_queries():
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+# --- queries against their SQL -----------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_matches_sql(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    got = QUERIES[name](spark, sf)
+    want = db.execute(ORACLE_SQL[name])
+    names = [c[0] for c in want.description]
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(repr, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(repr, want.fetchall()))
