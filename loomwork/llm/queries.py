@@ -57,7 +57,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff.lm_scores(read(spark, sf_dir, "documents"))
+    rows = backoff.lm_scores(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", *(F.round(c, 4).alias(c) for c in ("log10_score", "mean_log10", "once_share")))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,4 +102,12 @@ l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where
 r as (select a as node, a as reach from e union select r.node, e.b from r join e on r.reach = e.a), c as (select node, min(reach) as least from r group by 1)
 select t.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c.least, t.doc_id) as component_id from t left join n on n.doc_id = t.doc_id left join c on c.node = t.doc_id"""
 
-ORACLE_SQL: dict[str, str] = {"op5_repeats": _REPEATS_SQL, "op7_jaccard": _JACCARD_SQL}
+# All pairs that are scored occur, and all counts are kept, so only first words leave the pairs.
+_BACKOFF_SQL = r"""with t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+p as (select doc_id, i, w[i] as w, case when i > 1 then w[i - 1] end as v from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from t)),
+one as (select w, count(*) as c from p group by w), two as (select v, w, count(*) as c from p where v is not null group by v, w), size as (select count(*) as n from p),
+s as (select p.doc_id, count(*) as n_words, sum(case when p.v is null then log10(one.c / n) else log10(two.c) - log10(before.c) end) as total, avg(case when p.v is not null then (two.c = 1)::int end) as once
+from size, p join one on one.w = p.w left join two on two.v = p.v and two.w = p.w left join one before on before.w = p.v group by p.doc_id)
+select t.doc_id, coalesce(n_words, 0) as n_words, round(coalesce(total, 0), 4)::double as log10_score, round(total / n_words, 4)::double as mean_log10, round(once, 4)::double as once_share from t left join s on s.doc_id = t.doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op5_repeats": _REPEATS_SQL, "op7_jaccard": _JACCARD_SQL, "op9_lm_scores": _BACKOFF_SQL}

@@ -12,7 +12,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.llm import backoff, decontaminate, fingerprints, jaccard, packing, quality, repeats, shards, wordpieces
-from loomwork.llm.common import symbol_table
 from loomwork.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 
 
@@ -352,23 +351,30 @@ def test_templates_keep_the_token_count(docs):
 # --- 9 language model -------------------------------------------------------------------------
 
 
-def test_backoff_scores(docs, texts):
-    got = {r["doc_id"]: r for r in rows_of(backoff.lm_scores(docs))}
-    table = symbol_table(True)
-    coded = {i: tuple(table[list((t or "").encode())]) if t else () for i, t in texts}
-    counts = Counter(s[k : k + n] for s in coded.values() for n in range(1, 5) for k in range(len(s) - n + 1))
-    kept = {g: c for g, c in counts.items() if len(g) == 1 or c >= backoff.LEAST}
-    size = sum(c for g, c in counts.items() if len(g) == 1)
+@pytest.mark.parametrize("least", [1, 3])
+def test_backoff_scores(docs, texts, least):
+    got = {r["doc_id"]: r for r in rows_of(backoff.lm_scores(docs, least=least))}
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = {i: re.findall("[^\\x20\\x09-\\x0d]+", (t or "").translate(lower)) for i, t in texts}
+    one = Counter(w for ws in words.values() for w in ws)
+    two = Counter(p for ws in words.values() for p in itertools.pairwise(ws))
+    size = one.total()
+    for i, ws in words.items():
+        want = math.log10(one[ws[0]] / size) if ws else 0
+        for v, w in itertools.pairwise(ws):
+            want += math.log10(two[v, w] / one[v]) if two[v, w] >= least else math.log10(0.4 * one[w] / size)
+        r = got[i]
+        assert r["n_words"] == len(ws) and math.isclose(r["log10_score"], want, rel_tol=1e-9, abs_tol=1e-9)
+        assert (r["mean_log10"] is None) == (not ws) and (r["once_share"] is None) == (len(ws) < 2)
+        if len(ws) > 1:
+            assert math.isclose(r["once_share"], sum(two[p] == 1 for p in itertools.pairwise(ws)) / (len(ws) - 1))
 
-    def score(gram):
-        if len(gram) == 1:
-            return math.log10(kept[gram] / size)
-        return math.log10(kept[gram] / kept[gram[:-1]]) if gram in kept else math.log10(0.4) + score(gram[1:])
 
-    for i, s in coded.items():
-        want = sum(score(s[max(0, k - 3) : k + 1]) for k in range(len(s)))
-        assert got[i]["n_symbols"] == len(s) and math.isclose(got[i]["log10_score"], want, rel_tol=1e-4, abs_tol=1e-3)
-        assert (got[i]["mean_log10"] is None) == (not s)
+def test_backoff_blocks_and_buckets(docs, monkeypatch):
+    whole = sorted(map(repr, (tuple(r) for r in backoff.lm_scores(docs).collect())))
+    monkeypatch.setattr(backoff, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(backoff, "BUCKET_BYTES", 3000)
+    assert sorted(map(repr, (tuple(r) for r in backoff.lm_scores(docs).collect()))) == whole
 
 
 # --- 2 and 10: held-out accuracy --------------------------------------------------------------
