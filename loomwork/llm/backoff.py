@@ -97,7 +97,10 @@ def _sizes(rows: DataFrame) -> tuple[int, int]:
 
 
 def _exploded(texts: DataFrame, bits: int) -> DataFrame:
-    """(bucket, block, grams, counts) of rows (block, text) that stand together by block."""
+    """(bucket, block, grams, counts) of rows (block, text) that stand together by block.
+
+    All columns are read, so that the shuffle of the texts is the one that the scores use too.
+    """
 
     def pieces(block: int, chunks: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         gram, n = _counted(chunks)
@@ -124,7 +127,7 @@ def _exploded(texts: DataFrame, bits: int) -> DataFrame:
         if block is not None:
             yield from pieces(block, chunks)
 
-    return texts.sortWithinPartitions("block").select("block", "text").mapInArrow(run, "bucket int, block int, grams binary, counts binary")
+    return texts.sortWithinPartitions("block").mapInArrow(run, "bucket int, block int, grams binary, counts binary")
 
 
 def _answered(grams: DataFrame) -> DataFrame:
