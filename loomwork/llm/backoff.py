@@ -36,7 +36,7 @@ from . import common
 common.by_value(__name__)
 
 BACKOFF = 0.4
-BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 16 << 20
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
 
 
 def grams_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
