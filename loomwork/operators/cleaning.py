@@ -59,6 +59,7 @@ def unpivot_years(df: DataFrame, stem: str, keep: list[str], value: str = "value
     """Columns ``stem_2023`` and the like as rows (year, value); nulls give no row."""
     years = {c: int(m[1]) for c in df.columns if (m := re.fullmatch(rf"{re.escape(stem)}_?((?:19|20)\d\d)", c))}
     structs = [F.struct(F.lit(y).alias("year"), F.col(c).alias(value)) for c, y in sorted(years.items(), key=lambda x: x[1])]
+    structs = structs or [F.struct(F.lit(0).alias("year"), F.lit(None).cast("double").alias(value))]  # no such column: no rows
     return df.select(*keep, F.explode(F.array(*structs)).alias("r")).select(*keep, "r.*").filter(F.col(value).isNotNull())
 
 

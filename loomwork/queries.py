@@ -259,10 +259,12 @@ def split_column(spark, sf_dir):
     return cleaning.split_column(table(spark, sf_dir, "orders"), "o_orderpriority", "-", 2).select("o_orderkey", "o_orderpriority_1", "o_orderpriority_2")
 
 
-@query("select o_custkey, year(o_orderdate)::int as year, round(sum(o_totalprice), 2) as total from orders where year(o_orderdate) in (1995, 1996, 1997) group by 1, 2")
+@query("select o_custkey, year(o_orderdate)::int as year, round(sum(o_totalprice), 2) as total from orders where o_orderdate is not null group by 1, 2")
 def unpivot_years(spark, sf_dir):
-    wide = shape.pivot_wide(table(spark, sf_dir, "orders").withColumn("y", F.year("o_orderdate")), "o_custkey", "y", "o_totalprice", "sum", [1995, 1996, 1997])
-    named = wide.select("o_custkey", *[F.round(F.col(str(y)), 2).alias(f"total_{y}") for y in (1995, 1996, 1997)])
+    orders = table(spark, sf_dir, "orders").withColumn("y", F.year("o_orderdate"))
+    years = [r.y for r in orders.filter("y is not null").select("y").distinct().orderBy("y").collect()]  # a column each
+    wide = shape.pivot_wide(orders, "o_custkey", "y", "o_totalprice", "sum", years)
+    named = wide.select("o_custkey", *[F.round(F.col(str(y)), 2).alias(f"total_{y}") for y in years])
     return cleaning.unpivot_years(named, "total", ["o_custkey"], "total")
 
 
@@ -616,16 +618,32 @@ def pca_2d(spark, sf_dir):
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier to supplier, linked by an order of which both have a line of 48 units or more."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_quantity >= 48").select("l_orderkey", "l_suppkey")
-    return lines.withColumnRenamed("l_suppkey", "src").join(lines.withColumnRenamed("l_suppkey", "dst"), "l_orderkey").filter("src < dst").select("src", "dst")
+    """Supplier and part of every line; suppliers are numbered below zero."""
+    return table(spark, sf_dir, "lineitem").select((-1 - F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst"))
 
 
-_EDGES = "(select distinct a.l_suppkey as src, b.l_suppkey as dst from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_suppkey < b.l_suppkey where a.l_quantity >= 48 and b.l_quantity >= 48)"
-_EDGE_ROWS = _EDGES.replace("distinct ", "")
+def _ordered_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part and part with lines in one order."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    return lines.withColumnRenamed("l_partkey", "src").join(lines.withColumnRenamed("l_partkey", "dst"), "l_orderkey").filter("src < dst").select("src", "dst")
 
 
-@query(f"""with recursive e as {_EDGES}, w as (select src, dst from e union select dst, src from e), r as (select src as node, src as reach from w union select r.node, w.dst from r join w on r.reach = w.src) select node, min(reach) as component from r group by 1""")
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer and nation, nation and region; nations are numbered below zero, regions below -1000."""
+    nation = table(spark, sf_dir, "nation").select((-1 - F.col("n_nationkey")).cast("long").alias("src"), (-1001 - F.col("n_regionkey")).cast("long").alias("dst"))
+    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("src"), (-1 - F.col("c_nationkey")).cast("long").alias("dst"))
+    return nation.unionByName(customer)
+
+
+_EDGE_ROWS = "(select -1 - l_suppkey as src, l_partkey as dst from lineitem)"
+_EDGES = "(select distinct -1 - l_suppkey as src, l_partkey as dst from lineitem)"
+_TOGETHER = "(select distinct a.l_partkey as src, b.l_partkey as dst from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey)"
+_PLACES = "(select (-1 - n_nationkey)::bigint as src, (-1001 - n_regionkey)::bigint as dst from nation union select c_custkey, (-1 - c_nationkey)::bigint from customer)"
+
+
+@query(f"""with recursive e as {_EDGES}, w as (select src, dst from e union select dst, src from e), r as (select 0 as i, src as node, src as least from w group by 2
+union all select i + 1, node, min(least) from (select r.i, w.src as node, r.least from r join w on w.dst = r.node where r.i < 24 union all select i, node, least from r where i < 24) group by 1, 2)
+select node, least as component from r where i = 24""")
 def graph_components(spark, sf_dir):
     return graph.connected_components(_edges(spark, sf_dir))
 
@@ -635,11 +653,11 @@ def graph_degree(spark, sf_dir):
     return graph.degree(_edges(spark, sf_dir))
 
 
-@query(f"""with e as {_EDGES}, w as (select src, dst from e union select dst, src from e), k as (select src as node, count(*) as k from w group by 1),
+@query(f"""with e as {_TOGETHER}, w as (select src, dst from e union select dst, src from e), k as (select src as node, count(*) as k from w group by 1),
 t as (select a.src as node, count(*) as triangles from w a join w b on a.src = b.src and a.dst < b.dst join e on e.src = a.dst and e.dst = b.dst group by 1)
 select k.node, coalesce(triangles, 0) as triangles, round(case when k < 2 then 0 else 2.0 * coalesce(triangles, 0) / (k * (k - 1)) end, 6)::double as coefficient from k left join t on k.node = t.node""")
 def graph_clustering(spark, sf_dir):
-    return graph.clustering(_edges(spark, sf_dir)).withColumn("coefficient", F.round("coefficient", 6))
+    return graph.clustering(_ordered_together(spark, sf_dir)).withColumn("coefficient", F.round("coefficient", 6))
 
 
 @query(f"""with recursive e as {_EDGES}, w as (select src, dst from e union select dst, src from e), r as (select 0 as i, src as node, count(*) as h from w group by 2
@@ -657,12 +675,13 @@ def graph_pagerank(spark, sf_dir):
     return graph.pagerank(_edges(spark, sf_dir)).withColumn("rank", F.round("rank", 8))
 
 
-@query(f"""with recursive e as {_EDGES}, w as (select src, dst from e union select dst, src from e), r as (select src as s, src as t, 0 as d from w union select r.s, w.dst, r.d + 1 from r join w on w.src = r.t where r.d < 16),
+@query(f"""with recursive e as {_PLACES}, w as (select src, dst from e union select dst, src from e), r as (select src as s, src as t, 0 as d from w union select r.s, w.dst, r.d + 1 from r join w on w.src = r.t where r.d < 16),
 l as (select s, t, min(d) as d from r group by 1, 2), p as (select s, t, d, 1.0::double as n from l where d = 0 union all select l.s, l.t, l.d, sum(p.n) from p join w on w.src = p.t join l on l.s = p.s and l.t = w.dst and l.d = p.d + 1 group by 1, 2, 3),
 b as (select x.t as node, sum(x.n * y.n / z.n) as b from p x join p y on x.t = y.s and x.d > 0 and y.d > 0 join p z on z.s = x.s and z.t = y.t and z.d = x.d + y.d group by 1), k as (select distinct src as node from w), n as (select count(*) as n from k)
-select k.node, round(case when n > 2 then coalesce(b, 0) / ((n - 1) * (n - 2)) else 0 end, 8)::double as betweenness from n, k left join b on b.node = k.node""")
+select k.node, round(case when n > 2 then coalesce(b, 0) / ((n - 1) * (n - 2)) else 0 end, 10)::double as betweenness from n, k left join b on b.node = k.node""")
 def graph_betweenness(spark, sf_dir):
-    return graph.betweenness(_edges(spark, sf_dir)).withColumn("betweenness", F.round("betweenness", 8))
+    """Of customers, nations and regions, from all of them: pairs of nodes of a region are the work."""
+    return graph.betweenness(_places(spark, sf_dir)).withColumn("betweenness", F.round("betweenness", 10))
 
 
 @query()

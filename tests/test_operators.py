@@ -383,7 +383,7 @@ def test_complete_streams_stay_off_the_driver(spark, tmp_path):
 
 def test_betweenness_query_takes_all_nodes(spark):
     sf = "/root/testdata/sf0.01"
-    pairs = {(r.src, r.dst) for r in queries._edges(spark, sf).collect()}
+    pairs = {(r.src, r.dst) for r in queries._places(spark, sf).collect()}
     near = defaultdict(set)
     for a, b in pairs:
         near[a].add(b)
