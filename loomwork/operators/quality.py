@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Kinds that may stand as the constraint of an expected type.
+DRIFT = ("accepted_values", "valid_range", "format")
+
 
 @dataclass(frozen=True)
 class Check:
-    """kind: completeness, uniqueness, accepted_values, valid_range, format or referential_validity."""
+    """kind: completeness, uniqueness, accepted_values, valid_range, format, referential_validity or semantic_drift.
+
+    Drift is the constraint (one of the three kinds on values) of the type that a column is expected to have.
+    """
 
     name: str
     kind: str
@@ -81,9 +88,57 @@ def violation(check: Check) -> Column:
         if not safe_pattern(o["pattern"]):
             raise ValueError(f"unsafe pattern in check {check.name}")
         return c.isNotNull() & ~c.cast("string").rlike(rf"\A(?:{o['pattern']})\z")
+    if check.kind == "semantic_drift":
+        inner = dict(o["constraint"])
+        kind = inner.pop("kind")
+        if kind not in DRIFT:
+            raise ValueError(f"{kind} is no constraint of a type")
+        return violation(Check(check.name, kind, check.column, inner))
     raise ValueError(f"{check.kind} is no row-level check")
 
 
+def problems(check: Check) -> list[str]:
+    """What keeps a check from being run."""
+    out = [] if re.fullmatch(r"[a-z][a-z0-9_]*", check.name) else ["the name is no snake_case identifier"]
+    out += [] if check.column.strip() else ["a column is required"]
+    kind, o = check.kind, check.options
+    if kind == "semantic_drift":
+        out += [] if str(o.get("expected_type") or "").strip() else ["an expected type is required"]
+        o = dict(o.get("constraint") or {})
+        kind = o.pop("kind", None)
+        if kind not in DRIFT:
+            return [*out, "a drift check needs accepted_values, valid_range or format"]
+    if kind == "accepted_values" and not 1 <= len(o.get("values") or []) <= 100:
+        out.append("1 to 100 values are accepted")
+    if kind == "valid_range":
+        low, high = o.get("min"), o.get("max")
+        if low is None and high is None:
+            out.append("a range needs an end")
+        elif low is not None and high is not None and low > high:
+            out.append("the range is empty")
+    if kind == "format" and not safe_pattern(o.get("pattern") or "("):
+        out.append("the pattern is unsafe")
+    if kind == "referential_validity" and not (o.get("parent_table") and o.get("parent_column")):
+        out.append("a parent table and column are required")
+    if kind not in (*DRIFT, "completeness", "uniqueness", "referential_validity"):
+        out.append("the kind is unknown")
+    return out
+
+
+def contract(name: str, checks: list[Check]) -> str:
+    """The checks as a JSON document."""
+    return json.dumps({"version": 1, "name": name, "checks": [c.to_json() for c in checks]}, indent=2)
+
+
+def parse_contract(text: str) -> list[Check]:
+    """The checks of such a document; a wrong one is refused with its reasons."""
+    out = [Check(c["name"], c["kind"], c["column"], c.get("options") or {}) for c in json.loads(text)["checks"]]
+    wrong = {c.name: p for c in out if (p := problems(c))}
+    if wrong:
+        raise ValueError(f"invalid checks: {wrong}")
+    return out
+
+
 def violations(df: DataFrame, check: Check, parent: DataFrame | None = None) -> DataFrame:
     """The violating rows; for uniqueness the repeated values with ``duplicate_count``; none means PASS."""
     if check.kind == "uniqueness":

@@ -50,17 +50,22 @@ def category_counts(df: DataFrame, column: str, top: int = 20) -> DataFrame:
     """(category, n) of the most frequent values, the sum of all others as '(other)' and of nulls and '' as '(null)'."""
     text = F.nullif(F.col(column).cast("string"), F.lit(""))
     counted = df.groupBy(text.alias("category")).agg(F.count("*").alias("n"))
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy(F.col("category").isNull()).orderBy(F.desc("n"), "category")))
-    label = F.when(F.col("category").isNull(), "(null)").when(F.col("rank") <= top, F.col("category")).otherwise("(other)")
-    return ranked.groupBy(label.alias("category")).agg(F.sum("n").alias("n"))
+    head = counted.filter("category is not null").orderBy(F.desc("n"), "category").limit(top).select("category", F.lit(True).alias("shown"))
+    marked = counted.join(F.broadcast(head), "category", "left")  # ``top`` rows
+    label = F.when(F.col("category").isNull(), "(null)").when(F.col("shown"), F.col("category")).otherwise("(other)")
+    return marked.groupBy(label.alias("category")).agg(F.sum("n").alias("n"))
 
 
 def pie_slices(df: DataFrame, label: str, value: str, top: int = 11) -> DataFrame:
     """Positive values summed by label: the largest ``top`` and, beyond one more, 'Other'."""
     summed = df.filter(number(value) > 0).groupBy(F.coalesce(F.col(label).cast("string"), F.lit("")).alias("label")).agg(F.sum(number(value)).alias("total"))
-    ranked = summed.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), "label"))).withColumn("of", F.count("*").over(Window.partitionBy()))
-    shown = F.when((F.col("of") <= top + 1) | (F.col("rank") <= top), F.col("label")).otherwise("Other")
-    return ranked.groupBy(shown.alias("label")).agg(F.sum("total").alias("total"))
+    # The window runs over two rows more than are shown at most, which tell whether there is a rest.
+    head = summed.orderBy(F.desc("total"), "label").limit(top + 2)
+    place = Window.partitionBy(F.lit(0))
+    head = head.select("label", F.row_number().over(place.orderBy(F.desc("total"), "label")).alias("rank"), F.count("*").over(place).alias("of"))
+    head = head.filter((F.col("of") <= top + 1) | (F.col("rank") <= top)).select("label", F.lit(True).alias("shown"))
+    marked = summed.join(F.broadcast(head), "label", "left")
+    return marked.groupBy(F.when(F.col("shown"), F.col("label")).otherwise("Other").alias("label")).agg(F.sum("total").alias("total"))
 
 
 def funnel_rates(steps: DataFrame, position: str, count: str) -> DataFrame:

@@ -115,6 +115,42 @@ def _ratios(t: SemanticType, c: Column) -> list[tuple[float, Column]]:
     return out
 
 
+def distribution(df: DataFrame, column: str, high_cardinality: bool = False, low_cardinality: bool = False, numeric: bool = False, min_length: int | None = None, max_length: int | None = None) -> DataFrame:
+    """One row (column_name, score): the product of what is asked of the non-null values; null without values.
+
+    Distinct share: over 0.8 (high) or under 0.1 (low) counts 1, over 0.5 or under 0.3 0.6, else 0.2; then the
+    share of numbers among non-blank values, and the share of lengths within the bounds.
+    """
+    text = F.col(f"`{column}`").cast("string")
+    distinct = F.count_distinct(text) / F.nullif(F.count(text), F.lit(0))
+    score = F.lit(1.0)
+    if high_cardinality:
+        score = score * F.when(distinct > 0.8, 1.0).when(distinct > 0.5, 0.6).otherwise(0.2)
+    if low_cardinality:
+        score = score * F.when(distinct < 0.1, 1.0).when(distinct < 0.3, 0.6).otherwise(0.2)
+    if numeric:
+        score = score * F.coalesce(F.avg(F.when(F.trim(text) != "", text.try_cast("double").isNotNull().cast("double"))), F.lit(0.0))
+    if min_length is not None or max_length is not None:
+        fits = F.length(text) >= (min_length or 0)
+        if max_length is not None:
+            fits = fits & (F.length(text) <= max_length)
+        score = score * F.avg(fits.cast("double"))
+    return df.agg(F.when(F.count(text) > 0, score).alias("score")).select(F.lit(column).alias("column_name"), "score")
+
+
+def user_types(made: list[dict], types: tuple[SemanticType, ...] = TYPES) -> tuple[SemanticType, ...]:
+    """The types with a user's own (id, pattern, headers) added: pattern 0.6, header 0.4, floor 0.5; a known id keeps its meaning."""
+    known = {t.id for t in types}
+    out = list(types)
+    for m in made:
+        if m["id"] in known:
+            continue
+        re.compile(m["pattern"])
+        known.add(m["id"])
+        out.append(SemanticType(m["id"], m.get("role", "dimension"), m.get("sensitivity", "public"), tuple(m.get("headers", ())), m["pattern"]))
+    return tuple(out)
+
+
 def classify(df: DataFrame, types: tuple[SemanticType, ...] = TYPES, overrides: dict[str, str] | None = None) -> list[dict]:
     """For each column: type, confidence, status (accepted, ambiguous, unknown, override), role, sensitivity; one aggregate for the table."""
     aggs, asked = [], []

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import dates
-from loomwork.operators import cleaning, closure, compare, constraints, geo, graph, joins, privacy, quality, reports, resolve, selections, shape, stats, taxonomy, vectors
+from loomwork.operators import charts, cleaning, closure, compare, constraints, geo, graph, joins, privacy, quality, reports, resolve, selections, shape, stats, taxonomy, vectors
 from loomwork.plans import builder, cells, macros
 from loomwork.plans.notebook import Notebook
 from loomwork.sources import sinks
@@ -794,6 +794,110 @@ def _folder(sf_dir: str, name: str) -> str:
     return f"{sf_dir}/{name}.parquet*"
 
 
+# --- charts and tiles ----------------------------------------------------------------------------
+
+
+@query("""select 'event_type' as category, 'value' as value, round(sum(value) filter (where value > 0), 2) as total from events""")
+def chart_columns_pick(spark, sf_dir):
+    """The columns a chart of the events takes, found from the values, and what it shows in all."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "value")
+    category, value = charts.chart_columns(events) or ("event_type", "value")
+    return events.agg(F.round(F.sum(F.when(F.col(value) > 0, F.col(value))), 2).alias("total")).select(F.lit(category).alias("category"), F.lit(value).alias("value"), "total")
+
+
+@query("select l_returnflag as category, sum(l_quantity) as total, count(*) as rows from lineitem group by 1 order by total desc nulls last, 1 limit 20")
+def quick_sum_by(spark, sf_dir):
+    types = {"l_quantity": "quantity", "l_returnflag": "event_name"}
+    return charts.quick_actions(types, "l_quantity")["sum_l_quantity_by_l_returnflag"](table(spark, sf_dir, "lineitem"))
+
+
+@query("select p_brand as category, count(*) as n from part group by 1 order by n desc, 1 limit 20")
+def quick_count_by(spark, sf_dir):
+    return charts.quick_actions({"p_brand": "vendor_name"}, "p_brand")["count_by_p_brand"](table(spark, sf_dir, "part"))
+
+
+@query("select quality as category, round(avg(toxic), 3) as rate, count(*) as n from labels group by 1")
+def quick_rate_by(spark, sf_dir):
+    return charts.quick_actions({"toxic": "outcome_flag", "quality": "http_status"}, "toxic")["rate_toxic_by_quality"](table(spark, sf_dir, "labels"))
+
+
+@query("select date_trunc('day', o_orderdate)::timestamp as day, count(*) as n from orders where o_orderdate is not null group by 1")
+def quick_per_day(spark, sf_dir):
+    return charts.quick_actions({"o_orderdate": "iso_date"}, "o_orderdate")["per_day_o_orderdate"](table(spark, sf_dir, "orders"))
+
+
+@query("select count(distinct user_id) as unique_user_id from events")
+def quick_unique(spark, sf_dir):
+    return charts.quick_actions({"user_id": "user_id"}, "user_id")["unique_user_id"](table(spark, sf_dir, "events"))
+
+
+@query("select substr(p_brand, 1, 7) as prefix, round(sum(p_retailprice), 2) as total, count(*) as n from part group by 1")
+def quick_prefix_totals(spark, sf_dir):
+    return charts.prefix_totals(table(spark, sf_dir, "part"), "p_brand", "p_retailprice", 7).withColumn("total", F.round("total", 2))
+
+
+@query("select coalesce(c_nationkey::varchar, '') as facet, round(sum(c_acctbal), 2) as total from customer where c_acctbal > 0 group by 1 order by sum(c_acctbal) desc, 1 limit 9")
+def pie_facets(spark, sf_dir):
+    return charts.facets(table(spark, sf_dir, "customer"), "c_nationkey", "c_acctbal").withColumn("total", F.round("total", 2))
+
+
+@query("select distinct 'p_size' as field, coalesce(p_size::varchar, '') as key, p_size::double as number from part union all select distinct 'p_brand', p_brand, null::double from part")
+def pivot_key_order(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    made = [charts.ordered_keys(part, c).select(F.lit(c).alias("field"), "key", "number") for c in ("p_size", "p_brand")]
+    return made[0].unionByName(made[1])
+
+
+@query("select round(sum(o_totalprice), 2) as total, round(avg(o_totalprice), 4) as average, count(*) as count from orders")
+def kpi_values(spark, sf_dir):
+    return charts.kpi(table(spark, sf_dir, "orders"), "o_totalprice").withColumns({"total": F.round("total", 2), "average": F.round("average", 4)})
+
+
+@query("select round(sum(o_totalprice), 2) as total, round(avg(o_totalprice), 4) as average, count(*) as n, o_orderstatus from orders group by o_orderstatus")
+def kpi_measures(spark, sf_dir):
+    """The measures of a tile under their names, by status."""
+    table(spark, sf_dir, "orders").createOrReplaceTempView("tile_orders")
+    sql = "select round(MEASURE(order_value_total), 2) as total, round(MEASURE(order_value_average), 4) as average, MEASURE(order_value_count) as n, o_orderstatus from tile_orders group by o_orderstatus"
+    return spark.sql(macros.expanded(sql, measures=charts.kpi_measures("Order value", "o_totalprice"), dimensions={}))
+
+
+@query("""select 'c_mktsegment' as column_name, case when d < 0.1 then 1.0 when d < 0.3 then 0.6 else 0.2 end::double * l as score from (select count(distinct c_mktsegment) / count(c_mktsegment) as d, avg((length(c_mktsegment) <= 9)::int) as l from customer)
+union all select 'c_custkey', case when d > 0.8 then 1.0 when d > 0.5 then 0.6 else 0.2 end::double * l from (select count(distinct c_custkey) / count(c_custkey) as d, avg((try_cast(c_custkey as double) is not null)::int) as l from customer)""")
+def column_distribution(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer")
+    few = taxonomy.distribution(customer, "c_mktsegment", low_cardinality=True, max_length=9)
+    return few.unionByName(taxonomy.distribution(customer, "c_custkey", high_cardinality=True, numeric=True))
+
+
+@query("""select 'status_drift' as check_name, 'semantic_drift' as kind, count(*) filter (where o_orderstatus not in ('F', 'O')) as violations, case when count(*) filter (where o_orderstatus not in ('F', 'O')) = 0 then 'PASS' else 'FAIL' end as status from orders
+union all select 'price_drift', 'semantic_drift', count(*) filter (where o_totalprice < 0 or o_totalprice > 300000), case when count(*) filter (where o_totalprice < 0 or o_totalprice > 300000) = 0 then 'PASS' else 'FAIL' end from orders
+union all select 'priority_drift', 'semantic_drift', count(*) filter (where not regexp_full_match(o_orderpriority, '[1-5]-[A-Z ]+')), case when count(*) filter (where not regexp_full_match(o_orderpriority, '[1-5]-[A-Z ]+')) = 0 then 'PASS' else 'FAIL' end from orders""")
+def semantic_drift_checks(spark, sf_dir):
+    """Checks of expected types, written as a contract and read again before they run."""
+    made = [
+        quality.Check("status_drift", "semantic_drift", "o_orderstatus", {"expected_type": "order_status", "constraint": {"kind": "accepted_values", "values": ["F", "O"]}}),
+        quality.Check("price_drift", "semantic_drift", "o_totalprice", {"expected_type": "amount", "constraint": {"kind": "valid_range", "min": 0, "max": 300000}}),
+        quality.Check("priority_drift", "semantic_drift", "o_orderpriority", {"expected_type": "priority", "constraint": {"kind": "format", "pattern": "[1-5]-[A-Z ]+"}}),
+    ]
+    return quality.run_checks(table(spark, sf_dir, "orders"), quality.parse_contract(quality.contract("orders", made)))
+
+
+@query("select event_id, event_type, value from events where value is not null and event_type is not null")
+def drop_null_rows(spark, sf_dir):
+    return cleaning.drop_null_rows(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), ["value", "event_type"])
+
+
+@query("""with r as (select min(o_totalprice) as lo, max(o_totalprice) as hi from orders), b as (select least(19, floor((o_totalprice - lo) / ((hi - lo) / 20)))::int as bin, count(*) as n from orders, r group by 1)
+select i::int as bin, coalesce(n, 0) as n from range(20) t(i) left join b on b.bin = i""")
+def chart_histogram(spark, sf_dir):
+    return shape.histogram(table(spark, sf_dir, "orders"), F.col("o_totalprice"), 20).select("bin", "n")
+
+
+@query("select 'c_acctbal' as column_name, avg((c_acctbal is null)::int)::double as null_share from customer union all select 'c_name', avg((nullif(c_name, '') is null)::int)::double from customer union all select 'c_mktsegment', avg((nullif(c_mktsegment, '') is null)::int)::double from customer")
+def wide_null_shares(spark, sf_dir):
+    return taxonomy.wide_sample_nulls(table(spark, sf_dir, "customer").select("c_acctbal", "c_name", "c_mktsegment"))
+
+
 # --- flagship ----------------------------------------------------------------------------------
 
 
