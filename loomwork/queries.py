@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -752,14 +754,30 @@ def shape_constraints(spark, sf_dir):
 
 @query("""select l_orderkey, l_linenumber, rank() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber)::int as price_rank from lineitem""")
 def python_cell_rank(spark, sf_dir):
-    """The rank of each line in its order, by a pandas function on groups of orders."""
+    """The rank of each line in its order, equal lines sharing one, by a pandas function on groups of orders."""
 
     def ranked(pdf):
-        pdf = pdf.sort_values(["l_orderkey", "l_extendedprice", "l_linenumber"], ascending=[True, False, True])
-        pdf["price_rank"] = (pdf.groupby("l_orderkey").cumcount() + 1).astype("int32")
-        return pdf[["l_orderkey", "l_linenumber", "price_rank"]]
-
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", F.pmod(F.xxhash64("l_orderkey"), F.lit(64)).alias("part"))
+        # In the order of SQL: no number before all numbers, nulls last; nulls come as flags, so that keys stay whole numbers.
+        price = pdf["l_extendedprice"].to_numpy(dtype=float)
+        kind = np.where(pdf["unpriced"], 2, np.where(np.isnan(price), 0, 1))
+        price = np.where(kind == 1, -price, 0.0)
+        keys = [pdf["keyless"], pdf["l_orderkey"], kind, price, pdf["lineless"], pdf["l_linenumber"]]
+        keys = [np.asarray(k) for k in keys]
+        order = np.lexsort(keys[::-1])
+        keys = [k[order] for k in keys]
+        places = np.arange(len(order))
+        new = lambda some: np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in some])])
+        first = lambda some: np.maximum.accumulate(np.where(new(some), places, 0))
+        rank = (first(keys) - first(keys[:2]) + 1).astype("int32")
+        column = lambda c, absent: pd.arrays.IntegerArray(c.copy(), absent.astype(bool))
+        return pd.DataFrame({"l_orderkey": column(keys[1], keys[0]), "l_linenumber": column(keys[5], keys[4]), "price_rank": rank})
+
+    lines = table(spark, sf_dir, "lineitem")
+    groups = max(64, -(-lines.count() // 100_000))  # so many rows a group, whatever the table
+    absent = lambda c, name: F.col(c).isNull().alias(name)
+    filled = [F.coalesce(c, F.lit(0).cast(kind)).alias(c) for c, kind in (("l_orderkey", "long"), ("l_linenumber", "int"), ("l_extendedprice", "double"))]
+    flags = [absent("l_orderkey", "keyless"), absent("l_linenumber", "lineless"), absent("l_extendedprice", "unpriced")]
+    lines = lines.select(*filled, *flags, F.pmod(F.xxhash64("l_orderkey"), F.lit(groups)).alias("part"))
     return cells.python_cell(lines, ranked, "l_orderkey bigint, l_linenumber int, price_rank int", ["part"])
 
 
