@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import dealt
+
+#: Groups of a level-of-detail field that go to all tasks; more are joined by their keys.
+FEW_GROUPS = 10_000
 AGGREGATES = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}
 
 
@@ -76,8 +83,19 @@ def funnel_rates(steps: DataFrame, position: str, count: str) -> DataFrame:
 
 
 def lod(df: DataFrame, alias: str, how: str, value: str, by: list[str]) -> DataFrame:
-    """A level-of-detail field: an aggregate over the whole partition beside every row."""
-    return df.withColumn(alias, AGGREGATES[how](value).over(Window.partitionBy(*by)))
+    """A level-of-detail field: an aggregate over the whole partition beside every row.
+
+    The groups are aggregated and joined, so that a group of any size is in no task as a whole.
+    """
+    keys = [f"__key_{i}" for i in range(len(by))]
+    groups = lambda rows, *more: rows.groupBy(*[F.col(f"`{c}`").alias(k) for c, k in zip(by, keys, strict=True)], *more).agg(AGGREGATES[how](value).alias(alias))
+    same = reduce(and_, [F.col(f"`{c}`").eqNullSafe(F.col(k)) for c, k in zip(by, keys, strict=True)])
+    about = df.agg(F.approx_count_distinct(F.xxhash64(*[F.col(f"`{c}`") for c in by]))).first()[0]  # only chooses the way
+    if about <= FEW_GROUPS:
+        return df.join(F.broadcast(groups(df)), same).drop(*keys)
+    marked = df.withColumn("__hash", F.xxhash64(*[F.col(f"`{c}`") for c in by]))
+    held = groups(dealt(marked, rows := df.count(), "__hash"), F.col("__hash").alias("__of"))
+    return dealt(marked, rows, "__hash").join(held.hint("merge"), (F.col("__hash") == F.col("__of")) & same).drop(*keys, "__hash", "__of")
 
 
 def summarize(df: DataFrame, value: str) -> DataFrame:
