@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwork.staging import stage
+
+#: Counted values that a range of ``percentiles`` holds.
+RANGE_ROWS = 500_000
+
 
 def is_numeric(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.NumericType)
@@ -17,19 +24,63 @@ def _long_form(one_row: DataFrame, rows: list[list], names: list[str]) -> DataFr
     return one_row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
+def percentiles(df: DataFrame, columns: dict[str, Column], shares: list[float]) -> dict[str, list[float | None]]:
+    """Exact percentiles (between two values by their distance) of expressions of type double, a few numbers for each.
+
+    Values are counted and dealt by range; sums per range tell which range holds a wanted place, and only the
+    counts of such ranges are added up one by one.  No task holds all values of a column, as ``percentile`` would.
+    """
+    if not columns:
+        return {}
+    names = list(columns)
+    pairs = F.array(*[F.struct(F.lit(i).alias("c"), columns[n].cast("double").alias("v")) for i, n in enumerate(names)])
+    counts = df.select(F.explode(pairs).alias("r")).select("r.*").filter("v is not null")
+    counts = stage(counts.groupBy("c", "v").agg(F.count("*").alias("n")), "counts")
+    ranges = stage(counts.repartitionByRange(max(1, -(-counts.count() // RANGE_ROWS)), "c", "v").withColumn("part", F.spark_partition_id()), "ranges")
+    sums: dict[int, list] = {i: [] for i in range(len(names))}
+    for r in ranges.groupBy("c", "part").agg(F.sum("n").alias("n")).collect():
+        sums[r.c].append((r.part, r.n))
+    asked: dict[tuple[int, int], int] = {}  # (column, range): rows of the column before it
+    places: dict[int, list[tuple[int, int, float]]] = {}
+    for c, parts in sums.items():
+        total, before = sum(n for _, n in parts), 0
+        at = [(total - 1) * q for q in shares] if total else []
+        places[c] = [(math.floor(x), math.ceil(x), x) for x in at]
+        wanted = {k for low, high, _ in places[c] for k in (low, high)}
+        for part, n in sorted(parts):
+            if any(before <= k < before + n for k in wanted):
+                asked[c, part] = before
+            before += n
+    if not asked:
+        return {n: [None] * len(shares) for n in names}
+    spark = df.sparkSession
+    held = ranges.join(F.broadcast(spark.createDataFrame([(*k, n) for k, n in asked.items()], "c int, part int, before long")), ["c", "part"])  # two ranges a share at most
+    upto = held.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("c", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    wanted = [(c, k) for c, some in places.items() for k in sorted({k for low, high, _ in some for k in (low, high)})]
+    wanted = F.broadcast(spark.createDataFrame(wanted, "c int, place long"))
+    found = upto.join(wanted, "c").filter((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n")))
+    value = {(r.c, r.place): r.v for r in found.select("c", "place", "v").collect()}
+    out = {}
+    for c, name in enumerate(names):
+        out[name] = [value[c, low] if low == high else (high - x) * value[c, low] + (x - low) * value[c, high] for low, high, x in places[c]] or [None] * len(shares)
+    return out
+
+
 def descriptives(df: DataFrame, columns: list[str]) -> DataFrame:
-    """count, nulls and distinct of every column; min, max, mean, stddev and median of numeric ones; a row for each column, two scans."""
+    """count, nulls and distinct of every column; min, max, mean, stddev and median of numeric ones; a row for each column."""
     aggs = []
     for i, c in enumerate(columns):
         v = F.col(f"`{c}`")
         aggs += [F.count(v).alias(f"c{i}_count"), F.count_if(v.isNull()).alias(f"c{i}_nulls")]
         if is_numeric(df, c):
             d = v.cast("double")
-            aggs += [F.min(d).alias(f"c{i}_min"), F.max(d).alias(f"c{i}_max"), F.avg(d).alias(f"c{i}_mean"), F.stddev(d).alias(f"c{i}_stddev"), F.percentile(d, F.lit(0.5)).alias(f"c{i}_median")]
+            aggs += [F.min(d).alias(f"c{i}_min"), F.max(d).alias(f"c{i}_max"), F.avg(d).alias(f"c{i}_mean"), F.stddev(d).alias(f"c{i}_stddev")]
+    middle = percentiles(df, {c: F.col(f"`{c}`").cast("double") for c in columns if is_numeric(df, c)}, [0.5])
     rows = []
     for i, c in enumerate(columns):
         own = [F.lit(c), *(F.col(f"c{i}_{x}") for x in ("count", "nulls"))]
-        stats = [_finite(F.col(f"c{i}_{x}")) if is_numeric(df, c) else F.lit(None).cast("double") for x in ("min", "max", "mean", "stddev", "median")]
+        stats = [_finite(F.col(f"c{i}_{x}")) if is_numeric(df, c) else F.lit(None).cast("double") for x in ("min", "max", "mean", "stddev")]
+        stats.append(_finite(F.lit(middle.get(c, [None])[0]).cast("double")))
         rows.append(own + stats)
     facts = _long_form(df.agg(*aggs), rows, ["column_name", "n", "nulls", "min", "max", "mean", "stddev", "median"])
     out = facts.join(distinct_counts(df, columns), "column_name", "left")
@@ -97,8 +148,8 @@ def top_values(df: DataFrame, columns: list[str], top: int = 5) -> DataFrame:
 def numeric_profile(df: DataFrame, columns: list[str], reach: float = 1.5) -> DataFrame:
     """Quartiles, range and count of outliers by the interquartile rule, for all columns with any numeric value."""
     number = {c: F.expr(f"try_cast(`{c}` as double)") for c in columns}
-    quarters = df.agg(*[F.percentile(number[c], F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i, c in enumerate(columns)])
-    held = df.select(*[number[c].alias(f"v{i}") for i, c in enumerate(columns)]).crossJoin(F.broadcast(quarters))  # one row
+    quarters = percentiles(df, number, [0.25, 0.5, 0.75])
+    held = df.select(*[number[c].alias(f"v{i}") for i, c in enumerate(columns)], *[F.array(*[F.lit(x).cast("double") for x in quarters[c]]).alias(f"q{i}") for i, c in enumerate(columns)])
     aggs = []
     for i in range(len(columns)):
         v, q = F.col(f"v{i}"), F.col(f"q{i}")
