@@ -1,7 +1,7 @@
-"""Column classification: all (column, detector) hit ratios of a table in one aggregate.
+"""Column classification: all detectors' hit ratios of a column in one aggregate.
 
 A semantic type has weighted detectors on the header and on the values.  The ratios
-come from one scan of the (sampled or whole) table; the weighted means and the choice
+come from one scan of each column of the (sampled or whole) table; the weighted means and the choice
 are a few numbers on the driver.
 """
 
@@ -82,6 +82,9 @@ def _family(kind: T.DataType) -> str:
     return "boolean" if isinstance(kind, T.BooleanType) else "string"
 
 
+#: Every text that casts to a double: a decimal or hexadecimal number, infinity or NaN, between blanks.
+_NUMBER = r"\A[\x00-\x20]*[+-]?(?:[0-9]*\.?[0-9]*(?:[eE][+-]?[0-9]+)?[dDfF]?|0[xX][0-9a-fA-F]*\.?[0-9a-fA-F]*[pP][+-]?[0-9]+[dDfF]?|(?i:inf(?:inity)?|nan))[\x00-\x20]*\z"
+
 _SIGNS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -110,7 +113,7 @@ def _ratios(t: SemanticType, c: Column) -> list[tuple[float, Column]]:
     if t.values:
         out.append((0.6, share(F.lower(short).isin(*t.values))))
     if t.low is not None:
-        v = text.try_cast("double")
+        v = F.when(text.rlike(_NUMBER), text.try_cast("double"))  # a failing cast costs an exception
         out.append((0.6, F.coalesce(F.avg(v.between(t.low, t.high).cast("double")), F.lit(0.0))))
     return out
 
@@ -152,15 +155,17 @@ def user_types(made: list[dict], types: tuple[SemanticType, ...] = TYPES) -> tup
 
 
 def classify(df: DataFrame, types: tuple[SemanticType, ...] = TYPES, overrides: dict[str, str] | None = None) -> list[dict]:
-    """For each column: type, confidence, status (accepted, ambiguous, unknown, override), role, sensitivity; one aggregate for the table."""
-    aggs, asked = [], []
+    """For each column: type, confidence, status (accepted, ambiguous, unknown, override), role, sensitivity; one aggregate for each column."""
+    asked, row = [], []
     for f in df.schema:
+        aggs = []
         for t in types:
             if _family(f.dataType) in t.families:
                 ratios = _ratios(t, F.col(f"`{f.name}`"))
-                asked.append((f.name, t, [w for w, _ in ratios], len(aggs)))
+                asked.append((f.name, t, [w for w, _ in ratios], len(row) + len(aggs)))
                 aggs += [r for _, r in ratios]
-    row = df.agg(*[a.alias(f"r{i}") for i, a in enumerate(aggs)]).first() if aggs else []
+        # An aggregate for each column reads that column only and stays within what Spark compiles; one for all is interpreted.
+        row += list(df.agg(*[a.alias(f"r{i}") for i, a in enumerate(aggs)]).first()) if aggs else []
     scored: dict[str, list[tuple[float, SemanticType]]] = {c: [] for c in df.columns}
     for name, t, weights, at in asked:
         parts = [(t.header_weight, header_score(name, t.headers))] + [(w, row[at + k] or 0.0) for k, w in enumerate(weights)]
