@@ -28,8 +28,12 @@ every two components that meet in groups, one such pair, until no link is found;
 group that lies in one component leaves the work for good.  What then still lies in
 another component than the group's largest one is a set of queries against all of the
 group outside its own component: in cells of at most ``BLOCK`` queries and members,
-under the orders above, so that only pairs that pass them all become rows.  So every
-pair that could connect two components is tested, and none is skipped.
+under the orders above.  First come turns in which a task tells two pairs of each
+component, the likeliest and one by lot, so that a cluster grows together although its
+smallest node is not linked with all of it, and its pairs are never listed; they go on
+while a turn finds a tenth of what the first one found.  Then all pairs of different
+components that pass the orders become rows; a group of two rows is one pair and needs
+no cell.  So every pair that could connect two components is tested, and none is skipped.
 
 Defined cases: null and word-less texts have the empty set and are linked with
 nothing; fewer words than n make one shingle of the whole sequence; repeated rows
@@ -48,7 +52,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.operators.graph_components import connected_components
-from loomwork.staging import mark, release, stage
+from loomwork.staging import free_shuffles, mark, release, stage
 
 from . import common
 
@@ -62,6 +66,8 @@ BROADCAST_IDS = 1_000_000
 BLOCK = 4096
 #: Pairs of a cell that are looked at together.
 PAIRS = 1 << 17
+#: About so many pairs are remembered by a task, so as not to tell them again from another cell.
+TOLD = 1 << 17
 #: Bits of the four prefix bitmaps together.
 BITS = 2048
 #: Share of the ranks of level 0 that every prefix holds.
@@ -302,8 +308,17 @@ def _split_groups(grouped: DataFrame, parts: DataFrame) -> DataFrame:
     return stage(held.join(split, "token"), "split")
 
 
-def _open_pairs(held: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of different components that pass all orders: the rows outside a group's largest component against its other rows, in cells."""
+def _two_rows(held: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of the groups that are no more than a pair."""
+    two = held.filter("members = 2 and node <> lead and part <> lead_part").filter(_may_link("", "_lead", num, den))
+    return two.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+
+
+def _open_pairs(held: DataFrame, nodes: DataFrame, num: int, den: int, turn: int = 0) -> DataFrame:
+    """Pairs (a, b) of different components that pass all orders: the rows outside a group's largest component against its other rows, in cells.
+
+    In a turn (from 1 on) a task tells two of them for each component: the likeliest and one by lot.
+    """
     rows = held.select("token", "node", *[F.col(c).cast("long").alias(c) for c in ("n", "p", "cut", "q")], "part", (F.col("part") == F.col("main")).alias("main"), "members", "queries")
     rows = rows.join(nodes.select("node", "bits"), "node")
     across, down = F.ceil(F.col("members") / BLOCK).cast("int"), F.ceil(F.col("queries") / BLOCK).cast("int")
@@ -313,8 +328,7 @@ def _open_pairs(held: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFr
     queries = rows.filter("not main").select(*columns, F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), across - 1)).alias("j"), own(down).alias("i"))
     cells = members.unionByName(queries).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
-    def meeting(rows: dict, pairs: tuple[np.ndarray, np.ndarray]) -> set[tuple[int, int]]:
-        u, v = pairs
+    def meeting(rows: dict, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n_u, n_v = rows["n"][u], rows["n"][v]
         node_u, node_v = rows["node"][u], rows["node"][v]
         stays = (rows["part"][u] != rows["part"][v]) & (rows["main"][v] | (node_u < node_v)) & (np.minimum(n_u, n_v) * den >= np.maximum(n_u, n_v) * num)
@@ -325,12 +339,30 @@ def _open_pairs(held: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFr
         stays &= np.minimum(rows["p"][u] - rows["q"][u], rows["p"][v] - rows["q"][v]) >= needed
         u, v = u[stays], v[stays]
         stays = may_link(rows["n"][u], rows["n"][v], rows["bits"][u], rows["bits"][v], num, den)
-        x, y = rows["node"][u[stays]], rows["node"][v[stays]]
-        return set(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
+        return u[stays], v[stays]
+
+    def choose(rows: dict, u: np.ndarray, v: np.ndarray, best: dict) -> None:
+        """Of each component the pair that misses least, and the first by lot."""
+        x, y = (f(rows["node"][u], rows["node"][v]) for f in (np.minimum, np.maximum))
+        missed = np.bitwise_count(rows["bits"][u] ^ rows["bits"][v]).sum(axis=1, dtype=np.int64) / (rows["n"][u] + rows["n"][v])
+        with np.errstate(over="ignore"):
+            lot = common.mix(x.view(np.uint64) ^ common.mix(y.view(np.uint64) + np.uint64(turn))) / 2.0**64
+        for k, worth in enumerate((missed, lot)):
+            for side, at in ((u, np.arange(len(u))), (v, np.flatnonzero(~rows["main"][v]))):
+                part = rows["part"][side[at]]
+                at = at[np.lexsort((y[at], x[at], worth[at], part))]
+                for i in at[np.unique(rows["part"][side[at]], return_index=True)[1]].tolist():
+                    told, key = (float(worth[i]), int(x[i]), int(y[i])), (k, int(rows["part"][side[i]]))
+                    best[key] = min(best.get(key, told), told)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("token", "i", "j", "node", "n", "p", "cut", "q", "part", "main", "query")
         rest: dict[str, np.ndarray] | None = None
+        told: set[tuple[int, int]] = set()  # pairs of this task's former cells
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+
+        def listed(found: set[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         def done(rows: dict[str, np.ndarray], bounds: np.ndarray) -> pa.RecordBatch:
             found: set[tuple[int, int]] = set()
@@ -341,7 +373,12 @@ def _open_pairs(held: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFr
             def flush() -> None:
                 nonlocal waiting
                 if left:
-                    found.update(meeting(rows, (np.concatenate(left), np.concatenate(right))))
+                    u, v = meeting(rows, np.concatenate(left), np.concatenate(right))
+                    if turn:
+                        choose(rows, u, v, best)
+                    else:
+                        x, y = rows["node"][u], rows["node"][v]
+                        found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
                 left.clear()
                 right.clear()
                 waiting = 0
@@ -358,7 +395,11 @@ def _open_pairs(held: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFr
                     if waiting >= PAIRS:
                         flush()
             flush()
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            found -= told
+            if len(told) > TOLD:
+                told.clear()
+            told.update(found)
+            return listed(found)
 
         for batch in batches:
             new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names} | {"bits": _words(batch.column("bits"))}
@@ -370,6 +411,7 @@ def _open_pairs(held: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFr
             rest = rows
         if rest is not None and len(rest["token"]):
             yield done(rest, np.array([0, len(rest["token"])]))
+        yield listed({pair[1:] for pair in best.values()})
 
     return cells.mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -423,8 +465,23 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
             found = not pairs.isEmpty()
             tested = tested.unionByName(pairs)
 
+    # Groups of two rows, and turns: of every component in larger groups the likeliest pair and one by lot.
+    more, counts = held.filter("members > 2"), []
+    while not counts or 0 < counts[-1] >= counts[0] / 10:
+        pairs = _open_pairs(more, nodes, num, den, turn=len(counts) + 1)
+        pairs = pairs if counts else pairs.unionByName(_two_rows(held, num, den)).distinct()
+        pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        new = stage(_verified(pairs, nodes, rows, n, num, den), "links")
+        tested = tested.unionByName(pairs)
+        counts.append(new.count())
+        if counts[-1]:
+            links = links.unionByName(new)
+            parts = connected_components(links, "a", "b")
+            more = _split_groups(more, parts)
+        free_shuffles(rows.sparkSession)
+
     # Groups that still hold more than one component.
-    last = stage(_open_pairs(held, nodes, num, den).join(tested, ["a", "b"], "left_anti"), "pairs")
+    last = stage(_open_pairs(more, nodes, num, den).join(tested, ["a", "b"], "left_anti"), "pairs")
     more = stage(_verified(last, nodes, rows, n, num, den), "links")
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more), "a", "b")

@@ -266,6 +266,32 @@ def test_jaccard_near_the_threshold(documents):
     assert got == brute_components(texts)
 
 
+def test_a_dense_cluster_lists_no_pairs_of_its_own(documents, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+
+    def edited(k):
+        words = [f"w{i}" for i in range(200)]
+        for place in rng.sample(range(5, 195), k):
+            words[place] = f"x{rng.random()}"
+        return " ".join(words)
+
+    # Texts of three edits are linked with those of two, mostly not with one another nor with the group's first one.
+    texts = [(i, edited(2 if i % 12 == 0 else 3)) for i in range(60)]
+    listed, plain = [], jaccard._open_pairs
+
+    def counted(*args, **how):
+        pairs = plain(*args, **how)
+        listed.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(jaccard, "_open_pairs", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows_of(jaccard.jaccard_components(documents(texts)))}
+    assert got == brute_components(texts)
+    assert listed[-1] <= len(texts)
+
+
 def test_one_of_each_component_stays(documents):
     text = "one two three four five six seven eight nine ten"
     df = documents([(4, text), (2, text.upper()), (2, text.upper()), (9, "quite another text than that one there"), (None, ""), (5, None)])
