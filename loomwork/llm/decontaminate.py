@@ -58,7 +58,9 @@ UNITS = (
     "byte bytes kb mb gb tb hz khz mhz ghz w kw watt watts v volt volts meter meters metre metres kilometer kilometers"
 )
 _NOT_WORD = r"[^\p{L}\p{N}\x{E001}\x{E004}]+"
-_NAMES = r"(?<=[\p{Ll}\p{N},;] )\p{Lu}\p{Ll}+(?:\x{E004}\p{Lu}\p{Ll}+)*(?![\p{L}\p{N}\x{E004}])"
+# Possessive: a shorter run would end before one of the signs that may not follow, and a loop that can go
+# back takes a stack frame for each name, so that a run of a few thousand would end its executor.
+_NAMES = r"(?<=[\p{Ll}\p{N},;] )\p{Lu}\p{Ll}++(?:\x{E004}\p{Lu}\p{Ll}++)*+(?![\p{L}\p{N}\x{E004}])"
 _IN_NUMBER = r"(?<=\p{N})[.,:'](?=\p{N})"
 _IN_NAMES = r" (?=\p{Lu}\p{Ll}+(?![\p{L}\p{N}]))(?<=[\p{Ll}\p{N},;] \p{Lu}\p{Ll}{1,40} )"
 

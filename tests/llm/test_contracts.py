@@ -369,6 +369,15 @@ def test_far_fragments_are_no_leak(documents, spark):
     assert {k: r["matched"] for k, r in got.items()} == {3: 18, 4: 12, 5: 12} and got[3]["coverage"] == 1.0
 
 
+def test_long_runs_of_names_need_no_stack(documents, spark):
+    item = "zorp blik frum dast gelp mirn ofta quun stel vack"
+    run = "Anna " * 20_000
+    rows = [(1, f"{item} so {run}went home"), (2, f"so {run}went home"), (3, f"so {run[:-1]}7 went home")]
+    assert {r["doc_id"] for r in rows_of(decontaminate.leaks(documents(rows), spark.createDataFrame([(1, item)], "item_id long, text string")))} == {1}
+    tokens = [r.t for r in documents(rows).orderBy("doc_id").select(decontaminate.template_tokens(F.col("text")).alias("t")).collect()]
+    assert tokens[1] == ["so", decontaminate.NAME, "went", "home"] and tokens[2] == ["so", decontaminate.NAME, "anna7", "went", "home"]
+
+
 def test_templates_keep_the_token_count(docs):
     wrong = docs.select(F.size(decontaminate.raw_tokens(F.coalesce("text", F.lit("")))).alias("a"), F.size(decontaminate.template_tokens(F.coalesce("text", F.lit("")))).alias("b")).filter("a <> b")
     assert wrong.count() == 0
